@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_net, mixing, order_minhash, packing, phrase_fingerprint, sanitise, secret_links, trie_counts
+from . import chunk_store, exact_dedup, language_net, mixing, order_minhash, packing, phrase_fingerprint, sanitise, secret_links, trie_counts
 from .common import documents
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_order_minhash": lambda s, d: order_minhash.near_duplicates(documents(s, d)),
         "op6_packing": lambda s, d: packing.pack(documents(s, d), _vocabulary("byte_bpe_50k.json")),
         "op7_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(documents(s, d)),
+        "op8_chunk_store": lambda s, d: chunk_store.stored(documents(s, d), _vocabulary("word_bpe_49k.json")),
         "op9_language": lambda s, d: language_net.identify(documents(s, d)),
         "op10_secrets": lambda s, d: secret_links.scan(documents(s, d)),
     }
