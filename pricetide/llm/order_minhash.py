@@ -12,10 +12,11 @@ similarity of `SIMILAR` allows: with m shingles matched in order of n and k,
 similarity = m / (n + k - m), the Jaccard index of shingles that keep their order.
 
 Equal sequences are one text from the start. In a bucket (key of a sketch) each text is
-held against the bucket's leader only, the one with the lowest hash; those that don't
-match it stay for the next round with a leader of their own, until none is left with
-another. So no bucket's pairs are all formed, and nothing is capped. Texts linked in
-any bucket are one class (connected components); of a class the lowest doc_id leads.
+held against the bucket's leader only, the one with the lowest number by hash; those that
+don't match it stay for the next round, which has LEADERS times as many leaders a bucket,
+until none is left with another. So a group of copies costs one comparison for each, only
+texts that agree in a sketch without being similar cost more, and nothing is capped. Texts
+linked in any bucket are one class (connected components); of a class the lowest doc_id leads.
 
 Null and empty texts have no words and are one class of their own by equality. Rows
 with the same doc_id are kept apart. Columns besides doc_id and text are not read.
@@ -39,7 +40,7 @@ from .common import RAW, blocks, chosen, removed, shared_dir, staged, whole_text
 from .sanitise import folded
 
 SHINGLE, SIMILAR = 5, 0.8
-SKETCHES, TAKEN = 20, 4
+SKETCHES, TAKEN, LEADERS = 20, 4, 4
 
 
 def word_ids(texts: list[str]) -> list[np.ndarray]:
@@ -196,9 +197,12 @@ def links(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     done, root, turn = [], shared_dir(spark), 0
     tried = None
     while True:
-        # the leader: a text's own hash, so that the same text leads wherever it can
-        leading = members.groupBy("sketch", "key").agg(F.min(F.struct(F.xxhash64("row").alias("order"), "row", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-        pairs = members.join(leading.select("sketch", "key", F.col("lead.row").alias("leader"), F.col("lead.n").alias("m")), ["sketch", "key"]).where("row <> leader")
+        # a text has one number in all buckets, so that the same texts lead wherever they can
+        placed = members.withColumn("order", F.shiftrightunsigned(F.xxhash64("row"), 11) / F.lit(1 << 53))
+        sizes = placed.groupBy("sketch", "key").agg(F.min("order").alias("lowest"), F.count("*").alias("size")).where("size > 1")
+        leads = (F.col("order") == F.col("lowest")) | (F.col("order") * F.col("size") < (LEADERS**turn if turn else 0))
+        leaders = placed.join(sizes, ["sketch", "key"]).where(leads).select("sketch", "key", F.col("row").alias("leader"), F.col("n").alias("m"), F.col("order").alias("led"))
+        pairs = placed.join(leaders, ["sketch", "key"]).where("led < order").drop("led", "order")
         pairs = staged(pairs.withColumn("near", F.expr(f"least(n, m) >= {SIMILAR} * greatest(n, m)")), f"{root}/pairs{turn}")
         if pairs.isEmpty():
             break
@@ -210,8 +214,10 @@ def links(texts: DataFrame, distinct: DataFrame) -> DataFrame:
             .select("row", "leader", "words", "others").mapInArrow(_verified, from_arrow_schema(PAIRS)), f"{root}/links{turn}")
         done.append(f"{root}/links{turn}")
         tried = spark.read.schema(new.schema).parquet(*done)
-        kept = pairs.join(tried.where(f"similarity >= {SIMILAR}").select("row", "leader"), ["row", "leader"], "left_anti").select("sketch", "key", "row", "n")
-        members = staged(kept, f"{root}/members{turn}")
+        # who leads has been held against all others; who matched a leader is in its class
+        led = pairs.select("sketch", "key", F.col("leader").alias("row")).distinct()
+        met = pairs.join(tried.where(f"similarity >= {SIMILAR}").select("row", "leader"), ["row", "leader"], "left_semi").select("sketch", "key", "row").distinct()
+        members = staged(members.join(led.unionByName(met), ["sketch", "key", "row"], "left_anti"), f"{root}/members{turn}")
         turn += 1
     return tried.where(f"similarity >= {SIMILAR}") if tried is not None else spark.createDataFrame([], from_arrow_schema(PAIRS))
 
