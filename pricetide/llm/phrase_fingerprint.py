@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import words as W
-from .common import BLOCK_CHARS, blocks, whole_texts
+from .common import blocks, whole_texts
 from .spans import sha256
 
 LEVEL, KEPT, TOSSES, HIGHEST = 2, 64, 4, 40
-#: Code points in one range of documents, about.
-RANGE_CHARS = 16_000_000
+#: Code points in one range of documents, and in what is parsed at once, about.
+RANGE_CHARS, BLOCK = 8_000_000, 400_000
 
 
 def _coin_tosses(x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -142,22 +142,22 @@ def _rows(ids: list, texts: list[str], following: str) -> pa.RecordBatch:
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by range and place in it; the last row of a range is the first document of the next one."""
-    held_ids, held_texts, held_range = [], [], None
+    held_ids, held_texts, held_range, chars = [], [], None, 0
     for batch in batches:
-        narrow = batch.select(["doc_id", "text"])
         ranges = batch.column("range").to_pylist()
         at = 0
-        for ids, texts in blocks(narrow, BLOCK_CHARS):
+        for ids, texts in blocks(batch.select(["doc_id", "text"]), BLOCK):
             for i, t in zip(ids, texts):
                 if ranges[at] != held_range:  # what is held is the one row that shows what follows
-                    held_ids, held_texts, held_range = [], [], ranges[at]
+                    held_ids, held_texts, held_range, chars = [], [], ranges[at], 0
                 held_ids.append(i)
                 held_texts.append(t)
+                chars += len(t)
                 at += 1
-                if sum(map(len, held_texts[-64:])) > BLOCK_CHARS or len(held_texts) > 1 and at == len(ranges) or at < len(ranges) and ranges[at] != held_range:
-                    if len(held_texts) > 1:
-                        yield _rows(held_ids[:-1], held_texts[:-1], held_texts[-1])
-                        held_ids, held_texts = held_ids[-1:], held_texts[-1:]
+                last = at == len(ranges) or ranges[at] != held_range
+                if len(held_texts) > 1 and (last or chars > BLOCK):
+                    yield _rows(held_ids[:-1], held_texts[:-1], held_texts[-1])
+                    held_ids, held_texts, chars = held_ids[-1:], held_texts[-1:], len(held_texts[-1])
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
