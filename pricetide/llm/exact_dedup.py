@@ -54,7 +54,8 @@ def directory(keys: DataFrame) -> DataFrame:
 def index(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index (bucket, page, key, text_sha256, link, keep_id, group_size) in shared files, and the hot keys."""
     keys = staged(rows.groupBy("key").agg(F.count("*").alias("n")))
-    hot = staged(keys.join(F.broadcast(keys.agg((F.sum("n") / HOT).alias("limit"))), F.expr("n > limit and n > 16")).select("key", F.lit(PAGES).alias("pages")))
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = staged(keys.where(F.col("n") > max(PAGES, total // HOT)).select("key", F.lit(PAGES).alias("pages")))
     entries = (
         _keyed(docs).join(F.broadcast(directory(keys.select("key"))), F.expr(f"shiftrightunsigned(key, {64 - DEPTH}) = prefix"))
         .join(F.broadcast(hot), "key", "left").select("bucket", _page(), "key", "text", "doc_id", "pages")
