@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import fold
+from .text import fold, let
 
 
 def round1(v: Column) -> Column:
@@ -21,7 +21,10 @@ def to_bani(amount: Column) -> Column:
 
 def written_number(raw: Column) -> Column:
     """A number as shops write it: of two separators the last is the decimal one; a lone one with three digits after it, or several times, groups thousands."""
-    s = F.translate(raw, rules.GROUP_SPACES, "")
+    return let(F.translate(raw, rules.GROUP_SPACES, ""), _separated)
+
+
+def _separated(s: Column) -> Column:
     dot, comma = F.instr(F.reverse(s), "."), F.instr(F.reverse(s), ",")  # 0: none, else places from the end
 
     def lone(sep: str) -> Column:
@@ -50,14 +53,20 @@ def parse_price(text: Column) -> Column:
 
 def parse_price_pair(text: Column) -> Column:
     """struct(current, old): lowest and, if higher, highest amount."""
-    prices = extract_prices(text)
-    low, high = F.array_min(prices), F.array_max(prices)
-    return F.struct(low.alias("current"), F.when(high > low, high).alias("old"))
+
+    def ends(prices: Column) -> Column:
+        low, high = F.array_min(prices), F.array_max(prices)
+        return F.struct(low.alias("current"), F.when(high > low, high).alias("old"))
+
+    return let(extract_prices(text), ends)
 
 
 def parse_machine_price(value: Column) -> Column:
     """Amounts of structured data, where a lone separator is a decimal one; negative or no number is null."""
-    s = F.regexp_replace(F.translate(F.trim(value), rules.GROUP_SPACES, ""), rf"(?i){rules.CURRENCY}\.?", "")
+    return let(F.regexp_replace(F.translate(F.trim(value), rules.GROUP_SPACES, ""), rf"(?i){rules.CURRENCY}\.?", ""), _machine_written)
+
+
+def _machine_written(s: Column) -> Column:
     amount = F.replace(s, F.lit(","), F.lit(".")).try_cast("decimal(18,6)")
     return F.when(F.contains(s, F.lit(".")) & F.contains(s, F.lit(",")), parse_price(s)).otherwise(F.when(amount >= 0, to_bani(amount)))
 
@@ -84,8 +93,10 @@ def _amounts(text: Column) -> Column:
 
 def parse_size(title: Column) -> Column:
     """struct(value, unit, count) of the one package size that a title names; null if there is none or several."""
-    text = fold(title)
+    return let(fold(title), _size_in)
+
 
+def _size_in(text: Column) -> Column:
     def pack(pattern: str, count: int, value: int) -> tuple[Column, Column]:
         n = F.regexp_extract(text, pattern, count).try_cast("int")
         one = _amount(F.nullif(F.regexp_extract(text, pattern, value), F.lit("")), F.regexp_extract(text, pattern, value + 1))
@@ -109,7 +120,10 @@ def base_size(value: Column, unit: Column) -> Column:
 
 def offer_size(title: Column, value: Column, unit: Column) -> Column:
     """struct(value, unit, count): the stored size, else the title's; a stored pack total is taken for one item's size."""
-    parsed, stored = parse_size(title), base_size(value, unit)
+    return let(parse_size(title), lambda parsed: _merged(parsed, base_size(value, unit)))
+
+
+def _merged(parsed: Column, stored: Column) -> Column:
     count = F.coalesce(parsed["count"], F.lit(1))
     total = (stored["value"] == parsed["value"] * count) & (stored["unit"] == parsed["unit"]) & (count > 1)
     from_title = stored.isNull() | F.coalesce(total, F.lit(False))

@@ -40,6 +40,11 @@ def _alphabet() -> tuple[str, str, dict[str, str]]:
     return one, to, several
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with `value` computed once however often it is used, which also keeps plans small."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fold(c: Column) -> Column:
     """Key without case, accents, kinds of apostrophe and runs of white space."""
     one, to, several = _alphabet()
@@ -90,8 +95,7 @@ def _lookup(table: dict[str, str]) -> Column:
 
 def canonical_brand(c: Column) -> Column:
     """Display name of a known brand; others as they are but for white space and signs; empty is null."""
-    cleaned = F.nullif(collapsed(_plain(c)), F.lit(""))
-    return F.coalesce(F.try_element_at(_lookup(aliases()), brand_key(cleaned)), cleaned)
+    return let(F.nullif(collapsed(_plain(c)), F.lit("")), lambda cleaned: F.coalesce(F.try_element_at(_lookup(aliases()), brand_key(cleaned)), cleaned))
 
 
 def is_known_brand(c: Column) -> Column:
@@ -129,22 +133,30 @@ def name_tokens(title: Column, brand: Column) -> Column:
     text = strip_sizes(fold(clean_title(title)))
     text = F.regexp_replace(text, r"(?<=[0-9a-z])\+(?![0-9a-z])|\(\s*\+\s*\)", " plus ")
     words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.replace(text, F.lit("'"), F.lit("")), F.lit("([0-9a-z]+)")), " "), F.lit(" "))
-    found = F.get(F.filter(_spellings(brand), lambda x: F.contains(words, F.concat(F.lit(" "), x, F.lit(" ")))), 0)
-    at = F.instr(words, F.concat(F.lit(" "), found, F.lit(" ")))
-    rest = F.when(found.isNotNull(), F.concat(F.substring(words, F.lit(1), at), F.substring(words, at + F.length(found) + 2, F.length(words)))).otherwise(words)
-    return F.filter(F.split(F.trim(rest), " "), lambda x: (x != "") & ~x.isin(rules.STOPWORDS))
+
+    def without(words: Column, found: Column) -> Column:
+        at = F.instr(words, found)
+        return F.concat(F.substring(words, F.lit(1), at), F.substring(words, at + F.length(found), F.length(words)))
+
+    def dropped(words: Column) -> Column:
+        padded = F.transform(_spellings(brand), lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
+        return let(F.get(F.filter(padded, lambda x: F.contains(words, x)), 0), lambda found: F.when(found.isNotNull(), without(words, found)).otherwise(words))
+
+    return F.filter(F.split(F.trim(let(words, dropped)), " "), lambda x: (x != "") & ~x.isin(rules.STOPWORDS))
 
 
 def display_name(title: Column, brand: Column) -> Column:
     """A title without noise, the brand in front (of up to six words) and sizes; the cleaned title if nothing is left."""
-    cleaned = clean_title(title)
-    words = F.split(cleaned, " ")
-    spellings = _spellings(brand)
-    most = F.least(F.size(words) - 1, F.lit(6))
-    leads = F.when(most >= 1, F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: F.array_contains(spellings, brand_key(F.array_join(F.slice(words, 1, n), " ")))))
-    drop = F.coalesce(F.get(leads, 0), F.lit(0))
-    rest = F.array_join(F.slice(words, drop + 1, F.greatest(F.size(words) - drop, F.lit(1))), " ")
-    return F.coalesce(F.nullif(F.btrim(strip_sizes(rest), F.lit(" ,-|")), F.lit("")), cleaned)
+
+    def named(cleaned: Column) -> Column:
+        return let(F.split(cleaned, " "), lambda words: F.coalesce(F.nullif(F.btrim(strip_sizes(after_brand(words)), F.lit(" ,-|")), F.lit("")), cleaned))
+
+    def after_brand(words: Column) -> Column:
+        most = F.least(F.size(words) - 1, F.lit(6))
+        leads = let(_spellings(brand), lambda known: F.when(most >= 1, F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: F.array_contains(known, brand_key(F.array_join(F.slice(words, 1, n), " "))))))
+        return let(F.coalesce(F.get(leads, 0), F.lit(0)), lambda drop: F.array_join(F.slice(words, drop + 1, F.greatest(F.size(words) - drop, F.lit(1))), " "))
+
+    return let(clean_title(title), named)
 
 
 def distinctive(token: Column) -> Column:
@@ -163,7 +175,9 @@ def search_words_of(c: Column) -> Column:
 
 def categorize(name: Column) -> Column:
     """The first category one of whose words is in the name."""
-    text = fold(name)
     (first, pattern), *rest = rules.CATEGORY_PATTERNS
-    chain = reduce(lambda x, r: x.when(text.rlike(r[1]), r[0]), rest, F.when(text.rlike(pattern), first))
-    return chain.otherwise(rules.OTHER)
+
+    def chosen(text: Column) -> Column:
+        return reduce(lambda x, r: x.when(text.rlike(r[1]), r[0]), rest, F.when(text.rlike(pattern), first)).otherwise(rules.OTHER)
+
+    return let(fold(name), chosen)

@@ -135,9 +135,9 @@ SIGHTS = "select user_id as retailer_id, event_type as listing, event_id as arri
   misses as (select *, row_number() over (partition by retailer_id, listing, island order by t) as missed_runs from filled where run = 1 and seen < run_at)
   select retailer_id, listing, epoch_us(run_at) as run_at, missed_runs, missed_runs = 3 and stock as marked from misses""")
 def st3_absences(m):
-    days = m.visits.agg(F.date_trunc("day", F.min("seen_at")).alias("a"), F.date_trunc("day", F.max("seen_at")).alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("run_at"))
-    shops = m.visits.select("retailer_id").distinct()
-    runs = shops.join(F.broadcast(days)).withColumn("until", F.expr("run_at + interval 1 day"))  # days of the table: as many as it spans
+    first, last = m.visits.agg(F.date_trunc("day", F.min("seen_at")).cast("string"), F.date_trunc("day", F.max("seen_at")).cast("string")).first()
+    days = F.explode(F.sequence(at(first), at(last), F.expr("interval 1 day")))
+    runs = m.visits.select("retailer_id").distinct().withColumn("run_at", days).withColumn("until", F.expr("run_at + interval 1 day"))
     sights = m.table("events").select(F.col("user_id").alias("retailer_id"), F.col("event_type").alias("listing"), F.col("event_id").alias("arrival"), F.col("ts").cast("timestamp").alias("seen_at"), (F.col("event_id") % 5 != 0).alias("in_stock"))
     return H.absences(sights, runs)
 
@@ -705,7 +705,8 @@ def m9_new_products(m):
 def m11_sequential(m):
     offers, products = _listed(m)
     name = T.display_name(F.col("title"), F.col("brand_name"))
-    own = offers.select("offer_id", T.name_tokens(name, T.canonical_brand(F.col("brand_name"))).alias("own_tokens"))
+    named = offers.select("offer_id", name.alias("name"), T.canonical_brand(F.col("brand_name")).alias("brand"))
+    own = named.select("offer_id", T.name_tokens(F.col("name"), F.col("brand")).alias("own_tokens"))
     return E.sequential(E.offer_keys(offers).join(own, "offer_id"), E.product_keys(products).where("product_id % 3 = 0")).groupBy("method").agg(F.count("*").alias("n"), F.count("product_id").alias("linked"), F.count("created_by").alias("made"))
 
 

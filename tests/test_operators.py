@@ -137,7 +137,8 @@ def keys(table, offers, shelf):
 
     o = table(LISTED, *offers)
     name = T.display_name(F.col("title"), F.col("brand_name"))
-    own = o.select("offer_id", T.name_tokens(name, T.canonical_brand(F.col("brand_name"))).alias("own_tokens"))
+    named = o.select("offer_id", name.alias("name"), T.canonical_brand(F.col("brand_name")).alias("brand"))
+    own = named.select("offer_id", T.name_tokens(F.col("name"), F.col("brand")).alias("own_tokens"))
     return matching.offer_keys(o).join(own, "offer_id"), matching.product_keys(table(SHELF, *shelf))
 
 
