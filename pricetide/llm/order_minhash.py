@@ -5,7 +5,8 @@ text is one shingle). A sketch orders the shingles, each labelled with how often
 occurred before, by a seeded hash, takes the `TAKEN` lowest and writes them down in the
 order of the text: two texts agree in a sketch with a probability that falls with their
 edit distance, as moved passages change the order. `SKETCHES` sketches are the keys of
-candidate search; similar texts (0.8) fail to agree in all of them once in 10^4 times.
+candidate search: two texts at 0.8 agree in none of them 15 times in 100,000, at 0.85 3 times
+in ten million; those at 0.6, which a shared passage can bring about, agree in one in sixty.
 
 Candidates are verified by aligning the shingle sequences within a band as wide as a
 similarity of `SIMILAR` allows: with m shingles matched in order of n and k,
@@ -40,7 +41,7 @@ from .common import RAW, blocks, chosen, removed, shared_dir, staged, whole_text
 from .sanitise import folded
 
 SHINGLE, SIMILAR = 5, 0.8
-SKETCHES, TAKEN, LEADERS = 20, 4, 4
+SKETCHES, TAKEN, LEADERS = 48, 8, 4
 
 
 def word_ids(texts: list[str]) -> list[np.ndarray]:
@@ -77,6 +78,8 @@ def occurrences(x: np.ndarray) -> np.ndarray:
 
 _SEEDS = W.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+_PLACES = np.multiply.accumulate(np.full(TAKEN, 0x9DDFEA08EB382D69, np.uint64))  # tells orders apart
+
 
 def sketches(x: np.ndarray) -> np.ndarray:
     """SKETCHES keys of a shingle sequence."""
@@ -85,10 +88,7 @@ def sketches(x: np.ndarray) -> np.ndarray:
     hashed ^= hashed >> np.uint64(32)
     k = min(TAKEN, len(x))
     at = np.sort(np.argpartition(hashed, k - 1, axis=1)[:, :k], axis=1)
-    out = _SEEDS.copy()
-    for j in range(k):
-        out = W.mixed(out * np.uint64(31) + labelled[at[:, j]])
-    return out
+    return W.mixed((labelled[at] * _PLACES[:k]).sum(1, dtype=np.uint64) ^ _SEEDS)
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
