@@ -7,6 +7,7 @@ A dialect is a function (html, url) -> rows; `dialect` registers one by name, an
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -21,8 +22,6 @@ from ..functions import rules
 Row = dict
 DIALECTS: dict[str, Callable[[str, str], list[Row]]] = {}
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("brand", pa.string()), ("price_bani", pa.int64()), ("old_price_bani", pa.int64()), ("currency", pa.string()), ("in_stock", pa.bool_()), ("ean", pa.string()), ("image_url", pa.string()), ("seller_name", pa.string())])
-#: How often a stray quotation mark is repaired in one block.
-REPAIRS = 200
 
 
 def dialect(name: str):
@@ -70,19 +69,36 @@ class _Page(HTMLParser):
             self._type = self._text = None
 
 
+#: A quotation mark that closes a string is followed by one of these, or by the end.
+_CLOSES = re.compile(r"\s*(?:[,:}\]]|$)")
+
+
 def lenient_json(text: str):
     """JSON that may have line ends and unescaped quotation marks inside strings; None if it can't be read."""
-    for _ in range(REPAIRS + 1):
+    for candidate in (lambda: text, lambda: _escaped(text)):
         try:
-            return json.loads(text, strict=False)
-        except json.JSONDecodeError as e:
-            quote = text.rfind('"', 0, e.pos)
-            if "delimiter" not in e.msg or quote < 0 or text[quote + 1 : e.pos].strip():
-                return None
-            text = f'{text[:quote]}\\"{text[quote + 1 :]}'
+            return json.loads(candidate(), strict=False)
+        except json.JSONDecodeError:
+            pass
     return None
 
 
+def _escaped(text: str) -> str:
+    """One walk over the text: a mark inside a string that nothing follows which could follow a string is part of it."""
+    out, inside, at = [], False, 0
+    for m in re.finditer(r'\\.|"', text, re.DOTALL):
+        if m[0] != '"':
+            continue
+        if not inside:
+            inside = True
+        elif _CLOSES.match(text, m.end()):
+            inside = False
+        else:
+            out += (text[at : m.start()], '\\"')
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
 def _objects(data) -> Iterator[dict]:
     for x in data if isinstance(data, list) else [data]:
         if isinstance(x, list):
