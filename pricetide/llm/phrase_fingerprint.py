@@ -179,7 +179,7 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     tops = rows.select("key").withColumn("range", range_of("key")).groupBy("range").agg(F.max("key").alias("top")).orderBy("range").collect()
     order = [r["range"] for r in tops]
     before = {r["top"]: order[i - 1] for i, r in enumerate(tops)}
-    shown = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v)))[F.col("key")] if before else F.lit(None).cast("int")
+    shown = F.create_map(*(x for k, v in before.items() for x in (F.lit(k).cast("long"), F.lit(v))))[F.col("key")] if before else F.lit(None).cast("int")
     placed = rows.withColumn("range", range_of("key")).withColumn("shown", shown)
     pairs = F.filter(F.array(F.struct(F.col("range"), F.lit(False).alias("last")), F.struct(F.col("shown").alias("range"), F.lit(True).alias("last"))), lambda x: x["range"].isNotNull())
     dealt = placed.select("doc_id", "text", "key", F.inline(pairs))
