@@ -295,7 +295,7 @@ def test_personal_data():
 
 
 def test_terms_that_give_a_person_away(spark):
-    rows = [(i, f"report {i} text{i} from zyxgard near the old bridge about me@home.example.org with news item{i} today") for i in range(6)]
+    rows = [(i, f"{prose(5, i)} from zyxgard near the old bridge about me@home.example.org with news {prose(5, 50 + i)}") for i in range(6)]
     rows += [(100 + i, prose(60, i) + " the old bridge about news today report with from near text") for i in range(200)]
     got = {r.doc_id: r for r in sanitise.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     text = dict(rows)[0]
