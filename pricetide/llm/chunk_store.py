@@ -126,7 +126,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
     """The store of all documents, in `folder`."""
     spark = docs.sparkSession
     root = shared_dir(spark)
-    journal = staged(_encoded(docs, path, end), root)
+    journal = staged(_encoded(docs, path, end), root, "zstd")
     total = journal.agg(F.sum("n")).first()[0] or 0
     n = max(1, round(total / FILE_IDS))
     bounds = np.array(sorted({int(x) for x in journal.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.1 / n)}), np.int64) if n > 1 else np.zeros(0, np.int64)
@@ -163,7 +163,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
                 start += r["n"]
             yield pa.RecordBatch.from_pydict(out, schema=PACK)
 
-    packs = staged(dealt.mapInArrow(run, from_arrow_schema(PACK)), f"{folder}/packs")
+    packs = staged(dealt.mapInArrow(run, from_arrow_schema(PACK)), f"{folder}/packs", "zstd")
     removed(spark, root)
     rows = packs.groupBy("file").agg(F.min("start").alias("first"), F.count("*").alias("rows"), F.sum("n").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "row", "root"))).alias("roots"))
     rows.select("file", "first", "rows", "ids", _file_root().alias("root")).write.parquet(f"{folder}/manifest")

@@ -61,10 +61,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root}/llm-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """`df` written to a shared folder and read again: no lineage, and it survives the loss of executors."""
     path = path or shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
