@@ -193,6 +193,23 @@ def test_hot_groups_are_one_class(spark):
     assert {x.class_id for x in got if x.doc_id < 200} == {0} and len({x.class_id for x in got}) == 41
 
 
+def classes_found(spark, rows):
+    got = defaultdict(list)
+    for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got[x.class_id].append(x.doc_id)
+    return Counter(tuple(sorted(g, key=str)) for g in got.values())
+
+
+def test_short_texts_a_word_apart(spark):
+    r, rows = random.Random(12), []
+    for size in range(8, 17):
+        for k in range(20):
+            words = [f"w{r.randrange(10**6)}" for _ in range(size)]
+            for t in (words, (words[1:], [*words[:-1], "z"], [*words, "one"], [*words, "one", "two"])[k % 4]):
+                rows.append((len(rows), " ".join(t)))
+    assert classes_found(spark, rows) == brute_classes(rows)
+
+
 def test_store(docs):
     e = Encoder(WORD)
     rows = sorted(((i is None, i), t) for i, t in texts_of(docs))
