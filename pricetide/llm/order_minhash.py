@@ -23,8 +23,14 @@ Equal sequences are one text from the start. In a bucket (key of a sketch) each
 held against the bucket's leader only, the one with the lowest number by hash; those that
 don't match it stay for the next round, which has LEADERS times as many leaders a bucket,
 until none is left with another. So a group of copies costs one comparison for each, only
-texts that agree in a sketch without being similar cost more, and nothing is capped. Texts
-linked in any bucket are one class (connected components); of a class the lowest doc_id leads.
+texts that agree in a sketch without being similar cost more, and nothing is capped.
+
+A text that matched its leader A leaves the bucket without being held against the rest. 1 -
+similarity is a metric, so such a text B can be similar to a C only if A and C are at 2 * SIMILAR - 1
+or more, and at similarity(A, B) - (1 - SIMILAR) or more. All B and C of one leader for which an
+upper bound of A and C allows it, and which links so far leave in different classes, are held
+against each other at the end. So classes are those of comparing all pairs in each bucket. Texts
+linked at all are one class (connected components); of a class the lowest doc_id leads.
 
 Null and empty texts have no words and are one class of their own by equality. Rows
 with the same doc_id are kept apart. Columns besides doc_id and text are not read.
@@ -51,6 +57,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, TAKEN, LEADERS = 48, 8, 4
 #: Pairs with a text of so many shingles or fewer are found by rare shingles; a partner has at most a quarter more.
 EXACT = 64
+#: Two texts that are similar to a third are at least so similar (2 * SIMILAR - 1, less what rounding may take).
+LINKING = 2 * SIMILAR - 1 - 1e-9
 
 
 def word_ids(texts: list[str]) -> list[np.ndarray]:
@@ -107,19 +115,25 @@ def sketches(x: np.ndarray) -> np.ndarray:
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sequences if SIMILAR or more, else 0; time and memory are length times band."""
+    return compared(a, b)[0]
+
+
+def compared(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """What `aligned` gives, and an upper bound of the similarity."""
     n, k = len(a), len(b)
     if not n or not k:
-        return float(n == k)
-    if min(n, k) < SIMILAR * max(n, k):
-        return 0.0
+        return float(n == k), float(n == k)
     need = int(np.ceil(SIMILAR * (n + k) / (1 + SIMILAR) - 1e-9))  # matches that reach SIMILAR
     head = _common(a, b)
     tail = _common(a[head:][::-1], b[head:][::-1])
     a, b = a[head : n - tail], b[head : k - tail]
-    if head + tail + min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum())) < need:
-        return 0.0
+    most = head + tail + min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum()))
+    if most < need:
+        return 0.0, most / (n + k - most)
     matched = head + tail + (_banded(a, b, n - need, k - need) if len(a) and len(b) else 0)
-    return matched / (n + k - matched) if matched >= need else 0.0
+    if matched >= need:
+        return matched / (n + k - matched), matched / (n + k - matched)
+    return 0.0, (need - 1) / (n + k - need + 1)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -188,18 +202,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, leader, similarity) of pairs of word sequences."""
+    """(row, leader, similarity, most: upper bound of it) of pairs of word sequences."""
     for batch in batches:
         rows, leaders = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         found, last, other = [], None, None
         for leader, a, b in zip(leaders, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             if leader != last:
                 last, other = leader, shingles(np.frombuffer(b, np.uint32).astype(np.uint64))
-            found.append(aligned(shingles(np.frombuffer(a, np.uint32).astype(np.uint64)), other))
-        yield pa.RecordBatch.from_pydict({"row": rows, "leader": leaders, "similarity": found}, schema=PAIRS)
+            found.append(compared(shingles(np.frombuffer(a, np.uint32).astype(np.uint64)), other))
+        yield pa.RecordBatch.from_pydict({"row": rows, "leader": leaders, "similarity": [x for x, _ in found], "most": [x for _, x in found]}, schema=PAIRS)
 
 
-PAIRS = pa.schema([("row", pa.int64()), ("leader", pa.int64()), ("similarity", pa.float64())])
+PAIRS = pa.schema([("row", pa.int64()), ("leader", pa.int64()), ("similarity", pa.float64()), ("most", pa.float64())])
 
 
 def _rare(texts: DataFrame) -> DataFrame:
@@ -211,7 +225,7 @@ def _rare(texts: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(row, leader, similarity) of verified pairs among the rows in `distinct` of texts (row, n, keys, short, words)."""
+    """(row, leader, similarity, most) of verified pairs among the rows in `distinct` of texts (row, n, keys, short, words)."""
     spark = texts.sparkSession
     wanted = texts.where("n > 0").select("row", "n", "keys", "short").join(distinct, "row", "left_semi")
     members = staged(wanted.select("row", "n", F.posexplode("keys").alias("sketch", "key")).unionByName(_rare(wanted)))
@@ -227,15 +241,13 @@ def links(texts: DataFrame, distinct: DataFrame) -> DataFrame:
         leads = (F.col("order") == F.col("lowest")) | (F.col("order") * F.col("size") < (LEADERS**turn if turn else 0))
         leaders = placed.join(sizes, ["sketch", "key"]).where(leads).select("sketch", "key", F.col("row").alias("leader"), F.col("n").alias("m"), F.col("order").alias("led"))
         pairs = placed.join(leaders, ["sketch", "key"]).where("led < order").drop("led", "order")
-        pairs = staged(pairs.withColumn("near", F.expr(f"least(n, m) >= {SIMILAR} * greatest(n, m)")), f"{root}/pairs{turn}")
+        pairs = staged(pairs.withColumn("near", F.expr(f"least(n, m) >= {LINKING} * greatest(n, m)")), f"{root}/pairs{turn}")
         if pairs.isEmpty():
             break
         asked = pairs.where("near").select("row", "leader").distinct()
         if tried is not None:
             asked = asked.join(tried.select("row", "leader"), ["row", "leader"], "left_anti")
-        new = staged(
-            asked.join(wanted, "row").join(wanted.select(F.col("row").alias("leader"), F.col("words").alias("others")), "leader")
-            .select("row", "leader", "words", "others").mapInArrow(_verified, from_arrow_schema(PAIRS)), f"{root}/links{turn}")
+        new = _held(asked, wanted, f"{root}/links{turn}")
         done.append(f"{root}/links{turn}")
         tried = spark.read.schema(new.schema).parquet(*done)
         # who leads has been held against all others; who matched a leader is in its class
@@ -243,7 +255,29 @@ def links(texts: DataFrame, distinct: DataFrame) -> DataFrame:
         met = pairs.join(tried.where(f"similarity >= {SIMILAR}").select("row", "leader"), ["row", "leader"], "left_semi").select("sketch", "key", "row").distinct()
         members = staged(members.join(led.unionByName(met), ["sketch", "key", "row"], "left_anti"), f"{root}/members{turn}")
         turn += 1
-    return tried.where(f"similarity >= {SIMILAR}") if tried is not None else spark.createDataFrame([], from_arrow_schema(PAIRS))
+    if tried is None:
+        return spark.createDataFrame([], from_arrow_schema(PAIRS))
+    similar = tried.where(f"similarity >= {SIMILAR}")
+    left = _chained(tried, similar)
+    return similar.unionByName(_held(left, wanted, f"{root}/chained").where(f"similarity >= {SIMILAR}"))
+
+
+def _held(asked: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+    """The pairs asked for (row, leader), verified."""
+    others = wanted.select(F.col("row").alias("leader"), F.col("words").alias("others"))
+    return staged(asked.join(wanted, "row").join(others, "leader").select("row", "leader", "words", "others").mapInArrow(_verified, from_arrow_schema(PAIRS)), path)
+
+
+def _chained(tried: DataFrame, similar: DataFrame) -> DataFrame:
+    """(row, leader): texts that matched a leader and others that it may link, in different classes and not yet compared."""
+    classes = staged(components(similar))
+    placed = tried.join(classes, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    near = placed.where(f"similarity < {SIMILAR} and most >= {LINKING}").select("leader", F.col("row").alias("c"), F.col("root").alias("other"), "most")
+    met = placed.where(f"similarity >= {SIMILAR}").select("leader", F.col("row").alias("b"), "root", "similarity")
+    both = met.join(near, "leader").where(f"root <> other and most >= similarity - {1 - SIMILAR + 1e-9}")
+    pairs = both.select(F.greatest("b", "c").alias("row"), F.least("b", "c").alias("leader")).distinct()
+    known = tried.select(F.greatest("row", "leader").alias("row"), F.least("row", "leader").alias("leader"))
+    return pairs.join(known, ["row", "leader"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,7 +302,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (lowest doc_id of its class), class_size, n_links (texts it was found similar to), kept (leads its class)."""
+    """doc_id, class_id (lowest doc_id of its class), class_size, n_links (texts it was held against and found similar to, not all similar ones), kept (leads its class)."""
     return _classified(docs).drop("raw")
 
 

@@ -210,6 +210,24 @@ def test_short_texts_a_word_apart(spark):
     assert classes_found(spark, rows) == brute_classes(rows)
 
 
+def test_chains_are_one_class(spark):
+    r, rows = random.Random(13), []
+    for size in (20, 60, 110):
+        for _ in range(6):
+            a = [f"w{r.randrange(10**6)}" for _ in range(size)]
+            cut = max(1, size // 11)
+            rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((a, a[cut:], a[2 * cut :], a[3 * cut :]))]
+    assert classes_found(spark, rows) == brute_classes(rows)
+
+
+def test_bounds_of_similarity():
+    r = random.Random(5)
+    for _ in range(200):
+        a = np.array([r.randint(0, 30) for _ in range(r.randint(1, 40))], np.uint64)
+        b = np.array([x for x in a if r.random() > 0.15] or [1], np.uint64)
+        assert order_minhash.compared(a, b)[1] >= lcs_similarity(a, b) - 1e-12
+
+
 def test_store(docs):
     e = Encoder(WORD)
     rows = sorted(((i is None, i), t) for i, t in texts_of(docs))
