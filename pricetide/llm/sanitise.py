@@ -1,18 +1,22 @@
 """Personal data, and the terms around it that give it away (information-theoretic sanitisation).
 
 Patterns find e-mail and IP addresses, payment cards and telephone numbers. Each
-distinct value is an entity to protect. A term within `WINDOW` words of an entity
-discloses it to the degree PMI(term; entity) / IC(entity), where the probabilities
-are shares of documents, over the whole corpus:
+distinct value is an entity to protect. A term in a document with an entity, however far
+from it, discloses it to the degree PMI(term; entity) / IC(entity), where the probabilities
+are shares of documents, over the whole corpus (n(t, e): documents that hold both):
 
     PMI = log2(n(t, e) * N / (n(t) * n(e)))     IC = log2(N / n(e))
 
 Terms from `GENERALISE` on are to be replaced by their kind, from `REMOVE` on to be
-taken out; both only where at least `SUPPORT` different contexts show the pair, so
-that copies of one text are no evidence. Plain spans are never dropped.
+taken out, at every occurrence in documents that hold the entity; both only where at least
+`SUPPORT` different contexts show the pair, so that copies of one text are no evidence. A context
+is the `WINDOW` words on either side of the entity; a term that is in none of a document's is
+shown by the first. Plain spans are never dropped.
 
-Document counts of terms are wanted for candidate terms only: those are marked in a
-bitmap of fixed size (BITS), which lets some others pass; the join afterwards is exact.
+Only entities with SUPPORT contexts can be disclosed, so the texts are read again for those
+alone, then for the counts of candidate terms, then for the places of disclosing terms. What is
+looked for goes to the executors as bitmaps of fixed size (BITS), which let some others pass;
+the joins afterwards are exact.
 
 Null and empty texts have no spans; a doc_id may be null or repeated, each row gets
 its own result; columns besides doc_id and text are not read.
@@ -20,6 +24,7 @@ its own result; columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -108,44 +113,131 @@ def _value(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind == 'email' else re.sub('[^0-9.]', '', text)}"
 
 
-CONTEXT = pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.int64())])
-FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("around", pa.list_(CONTEXT))])
-
-
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row = TaskContext.get().partitionId() << 36
-    for batch in batches:
-        for ids, texts in blocks(batch):
-            spans = [base_spans(t) for t in texts]
-            around: list[list[dict]] = [[] for _ in texts]
-            some = [i for i, s in enumerate(spans) if s]
-            if some:
-                hashes, doc, starts, ends = terms([texts[i] for i in some])
-                cut = np.searchsorted(doc, np.arange(len(some) + 1))
-                for k, i in enumerate(some):
-                    mine = slice(cut[k], cut[k + 1])
-                    around[i] = _around(texts[i], spans[i], hashes[mine], starts[mine], ends[mine])
-            yield pa.RecordBatch.from_pydict(
-                {"row": range(row, row + len(ids)), "doc_id": ids, "base": [joined(s) for s in spans], "around": around}
-                | {f"n_{k}": [sum(x[0] == k for x in s) for s in spans] for k in KINDS},
-                schema=FOUND,
-            )
-            row += len(ids)
-
-
-def _around(text: str, spans: list[Span], hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
+def _entity(kind: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(_value(kind, text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _set(marked: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whose bits are set in a bitmap?"""
+    bit = h.view(np.uint64) % np.uint64(BITS)
+    return (marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+Place = tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # entity, context, words near it; hash, start and end of all words
+
+
+def _scanned(batch: pa.RecordBatch, entities: np.ndarray | None) -> Iterator[tuple[list, list[list[Span]], dict[int, list[Place]]]]:
+    """Blocks of doc ids, plain spans, and for texts with an entity that is marked (None: any), by its place in the block:
+    entity and context of each, and all words outside personal data (hash, start, end)."""
+    for ids, texts in blocks(batch):
+        spans = [base_spans(t) for t in texts]
+        held = [[(_entity(k, t[s:e]), s) for k, s, e in x] for t, x in zip(texts, spans)]
+        if entities is not None:
+            held = [[h for h in x if _set(entities, np.array([h[0]], np.int64))[0]] for x in held]
+        some, out = [i for i, x in enumerate(held) if x], {}
+        if some:
+            hashes, doc, starts, ends = terms([texts[i] for i in some])
+            cut = np.searchsorted(doc, np.arange(len(some) + 1))
+            for k, i in enumerate(some):
+                mine = slice(cut[k], cut[k + 1])
+                out[i] = _places(spans[i], held[i], hashes[mine], starts[mine], ends[mine])
+        yield ids, spans, out
+
+
+def _places(spans: list[Span], held: list[tuple[int, int]], hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[Place]:
     inside = np.zeros(len(starts), bool)  # words that are part of personal data themselves
     for _, s, e in spans:
         inside[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = True
     hashes, starts, ends = hashes[~inside], starts[~inside], ends[~inside]
-    out = {}
-    for kind, s, e in spans:
+    out = []
+    for entity, s in held:
         at = int(np.searchsorted(starts, s))
-        near = slice(max(0, at - WINDOW), at + WINDOW)
-        entity, context = _value(kind, text[s:e]), int(W.mixed(np.cumsum(W.mixed(hashes[near].view(np.uint64)))[-1:]).view(np.int64)[0]) if len(hashes[near]) else 0
-        for h, a, b in zip(hashes[near].tolist(), starts[near].tolist(), ends[near].tolist()):
-            out[entity, a] = {"entity": entity, "term": h, "start": a, "end": b, "context": context}
-    return [*out.values()]
+        near = hashes[max(0, at - WINDOW) : at + WINDOW]
+        context = int(W.mixed(np.cumsum(W.mixed(near.view(np.uint64)))[-1:]).view(np.int64)[0]) if len(near) else 0
+        out.append((entity, context, near, hashes, starts, ends))
+    return out
+
+
+ENTITIES = pa.schema([("entity", pa.int64()), ("context", pa.int64()), ("once", pa.int64())])
+
+
+def _entities(docs: DataFrame) -> DataFrame:
+    """(entity, context, once: 1 in one row of each document that holds the entity)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, _, places in _scanned(batch, None):
+                for x in places.values():
+                    seen = set()
+                    for entity, context in dict.fromkeys(p[:2] for p in x):
+                        rows.append((entity, context, int(entity not in seen)))
+                        seen.add(entity)
+            yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in rows] for k, f in enumerate(ENTITIES)}, schema=ENTITIES)
+
+    return whole_texts(docs).mapInArrow(run, from_arrow_schema(ENTITIES))
+
+
+EVIDENCE = pa.schema([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("once", pa.int64())])
+
+
+def _evidence(docs: DataFrame, entities: np.ndarray) -> DataFrame:
+    """(entity, term, context, once: 1 in one row of each document that holds both)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, places in _scanned(batch, entities):
+                for x in places.values():
+                    yield from map(_shown, _by_entity(x).items())
+
+    return whole_texts(docs).mapInArrow(run, from_arrow_schema(EVIDENCE))
+
+
+def _by_entity(places: list[Place]) -> dict[int, list[Place]]:
+    out: dict[int, list[Place]] = {}
+    for p in places:
+        out.setdefault(p[0], []).append(p)
+    return out
+
+
+def _shown(item: tuple[int, list[Place]]) -> pa.RecordBatch:
+    entity, places = item
+    near: dict[int, np.ndarray] = {}
+    for _, context, close, *_ in places:
+        near.setdefault(context, np.unique(close))
+    far = np.setdiff1d(places[0][3], np.concatenate([*near.values()]))
+    term = np.concatenate([*near.values(), far])
+    context = np.repeat(np.array([*near, places[0][1]], np.int64), [*map(len, near.values()), len(far)])
+    once = np.zeros(len(term), np.int64)
+    once[np.unique(term, return_index=True)[1]] = 1
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(term), entity, np.int64)), pa.array(term), pa.array(context), pa.array(once)], schema=EVIDENCE)
+
+
+AROUND = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("around", pa.list_(AROUND))])
+
+
+def _found(docs: DataFrame, entities: np.ndarray, marked: np.ndarray) -> DataFrame:
+    """Plain spans of each document, and every place of terms that may disclose an entity it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for ids, spans, places in _scanned(batch, entities):
+                around: list[list[dict]] = [[] for _ in ids]
+                for i, x in places.items():
+                    _, _, _, hashes, starts, ends = x[0]
+                    told = _set(marked, hashes)
+                    words = [*zip(hashes[told].tolist(), starts[told].tolist(), ends[told].tolist())]
+                    around[i] = [{"entity": e, "term": h, "start": a, "end": b} for e in dict.fromkeys(p[0] for p in x) for h, a, b in words]
+                yield pa.RecordBatch.from_pydict(
+                    {"row": range(row, row + len(ids)), "doc_id": ids, "base": [joined(s) for s in spans], "around": around}
+                    | {f"n_{k}": [sum(x[0] == k for x in s) for s in spans] for k in KINDS},
+                    schema=FOUND,
+                )
+                row += len(ids)
+
+    return whole_texts(docs).mapInArrow(run, from_arrow_schema(FOUND))
 
 
 def _document_counts(docs: DataFrame, marked: np.ndarray) -> DataFrame:
@@ -156,8 +248,7 @@ def _document_counts(docs: DataFrame, marked: np.ndarray) -> DataFrame:
         for batch in batches:
             for _, texts in blocks(batch):
                 h, doc, _, _ = terms(texts)
-                bit = h.view(np.uint64) % np.uint64(BITS)
-                pass_ = (marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                pass_ = _set(marked, h)
                 once = np.unique(np.stack([doc[pass_], h[pass_]]), axis=1)[1] if pass_.any() else h[:0]
                 term, n = np.unique(once, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], schema=schema)
@@ -165,9 +256,9 @@ def _document_counts(docs: DataFrame, marked: np.ndarray) -> DataFrame:
     return whole_texts(docs).mapInArrow(run, from_arrow_schema(schema)).groupBy("term").agg(F.sum("docs").alias("n_term"))
 
 
-def _bitmap(candidates: DataFrame) -> np.ndarray:
-    """BITS bits, one set for each candidate's hash; what comes to the driver has that size whatever the corpus."""
-    rows = candidates.select(F.expr(f"term & {BITS - 1}L").alias("bit")).groupBy(F.expr("bit div 63").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 63 as int))")).alias("bits")).collect()
+def _bitmap(candidates: DataFrame, column: str) -> np.ndarray:
+    """BITS bits, one set for each candidate's hash (in `column`); what comes to the driver has that size whatever the corpus."""
+    rows = candidates.select(F.expr(f"{column} & {BITS - 1}L").alias("bit")).groupBy(F.expr("bit div 63").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 63 as int))")).alias("bits")).collect()
     out = np.zeros(BITS // 8 + 1, np.uint8)
     for r in rows:
         for k in range(63):
@@ -177,14 +268,14 @@ def _bitmap(candidates: DataFrame) -> np.ndarray:
     return out
 
 
-def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosures(docs: DataFrame) -> DataFrame:
     """(entity, term, degree, treatment) of the pairs from GENERALISE on."""
-    around = found.select("row", F.inline("around"))
-    n = found.count()
-    entities = around.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    evidence = around.groupBy("entity", "term", "context").agg(F.count_distinct("row").alias("n"))
+    n = docs.count()
+    held = _entities(docs).groupBy("entity", "context").agg(F.sum("once").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("contexts"))
+    entities = staged(held.where(f"contexts >= {SUPPORT}").drop("contexts"))
+    evidence = _evidence(docs, _bitmap(entities, "entity")).groupBy("entity", "term", "context").agg(F.sum("once").alias("n"))
     pairs = staged(evidence.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("contexts")).where(f"contexts >= {SUPPORT}"))
-    counts = _document_counts(docs, _bitmap(pairs.select("term").distinct()))
+    counts = _document_counts(docs, _bitmap(pairs.select("term").distinct(), "term"))
     degree = F.expr(f"log2(least(n_pair, n_entity, n_term) * {n}.0 / (n_term * n_entity)) / nullif(log2({n}.0 / n_entity), 0)")
     return (
         pairs.join(entities, "entity").join(counts, "term").withColumn("degree", degree).where(f"degree >= {GENERALISE}")
@@ -194,8 +285,8 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: counts by kind, a digest of the plain spans, and all spans by kind, then start."""
-    found = staged(whole_texts(docs).mapInArrow(_found, from_arrow_schema(FOUND)))
-    told = disclosures(found, docs)
+    told = staged(disclosures(docs))
+    found = staged(_found(docs, _bitmap(told, "entity"), _bitmap(told, "term")))
     extra = (
         found.select("row", F.inline("around")).join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("treatment").alias("treatment"))
         .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("treatment", "start", "end"))).alias("extra"))
