@@ -165,21 +165,25 @@ def sitemap_pages(edges: DataFrame, roots: DataFrame, depth: int = rules.SITEMAP
     return pages.distinct()
 
 
-def reachable(links: DataFrame, seeds: DataFrame, is_listing, is_product, cap: int = rules.LISTING_PAGES, levels: int = 50) -> DataFrame:
-    """(url, level): product pages that listings link to, breadth first from the seeds (url); at most `cap` listings are read.
+def reachable(links: DataFrame, seeds: DataFrame, is_listing, is_product, cap: int = rules.LISTING_PAGES) -> DataFrame:
+    """(url, level): product pages that listings link to, breadth first from the seeds (url), however deep; at most `cap` listings are read.
 
     links: url, link. The cap is a politeness limit of the crawl: listings nearest to the seeds, then by address.
+    What is read, `cap` addresses at most, is held on the driver, so that no plan grows with the depth.
     """
+    spark = links.sparkSession
+    local = lambda rows: spark.createDataFrame(rows, "url string, level int")
     links = links.select("url", "link").distinct()
-    seen = seeds.select("url", F.lit(0).alias("level"))
-    front, out = seen, None
-    for level in range(1, levels + 1):
-        new = links.join(front.select("url"), "url").select(F.col("link").alias("url")).distinct()
-        found = new.where(is_product(F.col("url"))).select("url", F.lit(level).alias("level"))
-        out = found if out is None else out.unionByName(found)
-        front = new.where(is_listing(F.col("url")) & ~is_product(F.col("url"))).join(seen.select("url"), "url", "left_anti").select("url", F.lit(level).alias("level"))
-        seen = seen.unionByName(front).orderBy("level", "url").limit(cap)
-        front = front.join(seen.select("url"), "url", "left_semi")
-        if front.isEmpty():
-            break
-    return out.groupBy("url").agg(F.min("level").alias("level"))
+    onward = links.where(is_listing(F.col("link")) & ~is_product(F.col("link"))).persist()
+    front = [r.url for r in seeds.select("url").distinct().orderBy("url").limit(cap).collect()]
+    read = dict.fromkeys(front, 0)
+    level = 0
+    while front and len(read) < cap:
+        level += 1
+        new = onward.join(F.broadcast(local([(u, 0) for u in front])), "url").select(F.col("link").alias("url")).distinct()
+        new = new.join(F.broadcast(local([(u, n) for u, n in read.items()])), "url", "left_anti")
+        front = [r.url for r in new.orderBy("url").limit(cap - len(read)).collect()]
+        read.update(dict.fromkeys(front, level))
+    onward.unpersist()
+    found = links.where(is_product(F.col("link"))).join(F.broadcast(local([*read.items()])), "url")
+    return found.groupBy(F.col("link").alias("url")).agg((F.min("level") + 1).alias("level"))

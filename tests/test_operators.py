@@ -184,6 +184,14 @@ def test_robots(table):
     assert got == {"https://x/a/c": False, "https://x/a/b": True, "https://x/f.pdf": False, "https://x/f.pdf?x=1": True, "https://y/a": True, "https://x/robots.txt": True}
 
 
+def test_a_category_of_many_pages_is_walked_to_its_end(table):
+    page = "https://x/c?page={}".format
+    links = [(page(n), page(n + 1)) for n in range(1, 60)] + [(page(n), f"https://x/p/{n}") for n in range(1, 61)]
+    walk = lambda **more: {r.url: r.level for r in web.reachable(table("url string, link string", *links), table("url string", (page(1),)), lambda u: u.contains("/c"), lambda u: u.contains("/p/"), **more).collect()}
+    assert walk() == {f"https://x/p/{n}": n for n in range(1, 61)}
+    assert walk(cap=7) == {f"https://x/p/{n}": n for n in range(1, 8)}
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     from pricetide.streaming import upsert
 
