@@ -5,8 +5,9 @@ WINDOW ids has MASK's bits clear, so that equal stretches of ids are cut alike w
 they are. A chunk is known by its BLAKE2b digest and its ids are written once, by the
 first document (in order of doc_id) that has it; a document's recipe lists the chunks it
 is made of. The digests of a document are the leaves of a Merkle tree whose root is kept
-with it; the roots of a file's documents make the file's own, in the manifest. A reader
-puts the ids together from recipes and chunks and compares the roots.
+with it; these roots, in order, are the leaves of another whose root is the file's own, in
+the manifest. A reader holds rows, ids and root of each file against the manifest, puts the
+ids together from recipes and chunks and compares the documents' roots.
 
 Files (in a shared folder)
   packs     rows in ascending doc_id (those without one last): file, doc_id, row, start
@@ -165,12 +166,30 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
 
     packs = staged(dealt.mapInArrow(run, from_arrow_schema(PACK)), f"{folder}/packs", "zstd")
     removed(spark, root)
+    _files(packs).write.parquet(f"{folder}/manifest")
+
+
+MANIFEST = pa.schema([("file", pa.int32()), ("first", pa.int64()), ("rows", pa.int64()), ("ids", pa.int64()), ("root", pa.string())])
+
+
+def _files(packs: DataFrame) -> DataFrame:
+    """What the manifest says of each file of packs."""
+
+    @F.pandas_udf("string")
+    def root(roots: pd.Series) -> pd.Series:
+        return pd.Series([merkle([bytes(x["root"]) for x in r]).hex() for r in roots])
+
     rows = packs.groupBy("file").agg(F.min("start").alias("first"), F.count("*").alias("rows"), F.sum("n").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "row", "root"))).alias("roots"))
-    rows.select("file", "first", "rows", "ids", _file_root().alias("root")).write.parquet(f"{folder}/manifest")
+    return rows.select("file", "first", "rows", "ids", root("roots").alias("root"))
 
 
-def _file_root():
-    return F.sha2(F.concat_ws("", F.transform("roots", lambda x: F.hex(x["root"]))), 256)
+def verify(spark: SparkSession, folder: str) -> None:
+    """Raises if files of packs aren't those of the manifest: rows, ids and root of each."""
+    packs = spark.read.schema(from_arrow_schema(PACK)).parquet(f"{folder}/packs")
+    said = spark.read.schema(from_arrow_schema(MANIFEST)).parquet(f"{folder}/manifest")
+    wrong = _files(packs).exceptAll(said).select("file").union(said.exceptAll(_files(packs)).select("file")).distinct().limit(10).collect()
+    if wrong:
+        raise ValueError(f"files {sorted(r['file'] for r in wrong)} of {folder}/packs aren't those of the manifest")
 
 
 def _packed(ids: bytes, n: int, lengths: bytes, digests: list[bytes], marks: list[int]) -> tuple[np.ndarray, bytes]:
@@ -269,7 +288,8 @@ LAST_PLACE = 2**31 - 1
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone, once they agree with the manifest."""
+    verify(spark, folder)
     packs = spark.read.schema(from_arrow_schema(PACK)).parquet(f"{folder}/packs")
     schema = from_arrow_schema(READ)
     alone = packs.where("not borrows").mapInArrow(_alone, schema)

@@ -252,6 +252,19 @@ def test_store_holds_each_chunk_once(docs, spark, tmp_path):
             chunk_store._whole(broken, {})
 
 
+def test_a_lost_part_of_the_store_is_noticed(docs, spark, tmp_path):
+    folder = str(tmp_path / "store")
+    chunk_store.write(docs, WORD, folder)
+    assert chunk_store.read(spark, folder).count() == docs.count()
+    packs = spark.read.parquet(f"{folder}/packs")
+    last = packs.orderBy(F.desc("start")).first()
+    assert not last.shares
+    packs.where(F.col("start") < last.start).write.parquet(str(tmp_path / "less/packs"))
+    spark.read.parquet(f"{folder}/manifest").write.parquet(str(tmp_path / "less/manifest"))
+    with pytest.raises(ValueError, match="manifest"):
+        chunk_store.read(spark, str(tmp_path / "less"))
+
+
 def test_chunks_are_cut_alike_anywhere():
     r = np.random.default_rng(1)
     body = r.integers(0, 40000, 30000).astype("<u2")
