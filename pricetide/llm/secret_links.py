@@ -69,14 +69,14 @@ def _looks_random(value: str) -> bool:
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak parts whose complements co-occur: an access identifier and a secret find each other, an endpoint needs both."""
-    low = text.lower() if any(h in text or h.upper() in text or h.title() in text for h in WEAK_HINTS) else ""
-    weak_access = [m.span() for m in WEAK_ACCESS.finditer(text)] if low else []
+    low = text.lower()
+    weak_access = [m.span() for m in WEAK_ACCESS.finditer(text)] if any(h in low for h in WEAK_HINTS) else []
     access = [(s, e) for k, s, e in base if k == "access"]
     if not access and not weak_access:
         return []  # a secret without an identifier isn't a multipart credential
     around = _scopes([*access, *weak_access], len(text))
     weak_secret = [(m.start(), m.end()) for a, b in around for m in WEAK_SECRET.finditer(text, a, b) if _looks_random(m[0])]
-    endpoints = [m.span() for a, b in around for m in ENDPOINT.finditer(text, a, b)] if "://" in text else []
+    endpoints = _touching([m.span() for m in ENDPOINT.finditer(text)] if "://" in text else [], around)
     secret = [(s, e) for k, s, e in base if k in ("assign", "hex")]
     strong_access, strong_secret = _Parts(access), _Parts(secret)
     all_access, all_secret, hosts = _Parts([*access, *weak_access]), _Parts([*secret, *weak_secret]), _Parts(endpoints)
@@ -93,6 +93,12 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     return sorted(set(out), key=lambda x: (x[1], x[0], x[2]))
 
 
+def _touching(spans: list[tuple[int, int]], around: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of disjoint sorted spans those, at their whole length, that reach into one of the disjoint sorted stretches."""
+    ends = [b for _, b in around]
+    return [(s, e) for s, e in spans if (k := bisect_left(ends, s)) < len(around) and around[k][0] <= e]
+
+
 def _scopes(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """The stretches within twice SCOPE of a span, merged where they meet, so that each character is searched once."""
     out: list[tuple[int, int]] = []
