@@ -430,6 +430,16 @@ def t2_brand_key(m):
     return m.table("documents").select("doc_id", T.brand_key(start).alias("brand_key"), T.brand_token(start).alias("token"), F.array_join(T.search_words_of(start), " ").alias("words"))
 
 
+WHOLE_KEY = f"""trim(regexp_replace(replace({FOLDED.format('text')}, '''', ''), '[^0-9a-z]+', ' ', 'g'))"""
+
+
+@query(f"""select doc_id, md5({WHOLE_KEY}) as brand_key, md5(regexp_replace({FOLDED.format("text")}, '[^a-z0-9]', '', 'g')) as token, md5(array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ')) as words from (select *, string_split({WHOLE_KEY}, ' ') as w from documents)""")
+def t2_brand_key_all(m):
+    """t2_brand_key over whole texts; digests, as the results are as long as the texts."""
+    text = F.col("text")
+    return m.table("documents").select("doc_id", F.md5(T.brand_key(text)).alias("brand_key"), F.md5(T.brand_token(text)).alias("token"), F.md5(F.array_join(T.search_words_of(text), " ")).alias("words"))
+
+
 SPELT = ["L’ORÉAL  paris®", "eau thermale avene", "YSL", "Unknown  Brand™", "  ", "la roche posay", "Kiehls", "NYX cosmetics"]
 CANON = ["L'Oréal Paris", "Avène", "Yves Saint Laurent", "Unknown Brand", None, "La Roche-Posay", "Kiehl's", "NYX Professional Makeup"]
 

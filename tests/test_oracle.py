@@ -42,3 +42,8 @@ def test_same_rows(name, spark, duck):
 @pytest.mark.parametrize("name", [q for q in QUERIES if q not in ORACLES])
 def test_runs(name, spark):
     assert QUERIES[name](spark, str(DATA)).count() > 0
+
+
+@pytest.mark.parametrize(("name", "table"), [("t2_brand_key_all", "documents")])
+def test_whole_tables(name, table, spark):
+    assert QUERIES[name](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
