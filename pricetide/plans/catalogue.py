@@ -410,6 +410,16 @@ def n9_offer_size(m):
     return titles.select("product_id", N.offer_size(F.col("title"), F.col("v"), F.col("u"))["value"].cast("double").alias("size"))
 
 
+@query(f"""select product_id, case when product_id % 22 = 0 then coalesce(size, p_size * 2.0) when product_id % 2 = 0 then 1500.0 else size end as size from ({ORACLES["n7_parse_size"]}) join part on p_partkey = product_id""")
+def n9_offer_size_all(m):
+    """n9_offer_size over all titles as they are; half of them have a stored size, some a pack's total."""
+    n, total = F.col("product_id"), F.col("product_id") % 22 == 0
+    size = m.table("part").select(F.col("p_partkey").alias("product_id"), (F.col("p_size") * 2).cast("decimal(10,3)").alias("twice"))
+    stored = F.when(total, F.col("twice")).when(n % 2 == 0, F.lit(1.5)).cast("decimal(10,3)")
+    titles = m.titles.join(size, "product_id").withColumns({"v": stored, "u": F.when(total, "ml").when(n % 2 == 0, "l")})
+    return titles.select("product_id", N.offer_size(F.col("title"), F.col("v"), F.col("u"))["value"].cast("double").alias("size"))
+
+
 FOLDED = r"trim(regexp_replace(lower(strip_accents(replace(replace({0}, 'ß', 'ss'), '’', ''''))), '\s+', ' ', 'g'))"
 
 
@@ -430,6 +440,12 @@ def t2_brand_key(m):
     return m.table("documents").select("doc_id", T.brand_key(start).alias("brand_key"), T.brand_token(start).alias("token"), F.array_join(T.search_words_of(start), " ").alias("words"))
 
 
+@query(f"select doc_id, md5({FOLDED.format('text')}) as folded from documents")
+def t1_fold_exact_all(m):
+    """t1_fold_exact over all documents, whatever their language."""
+    return m.table("documents").select("doc_id", F.md5(T.fold_exact("text")).alias("folded"))
+
+
 WHOLE_KEY = f"""trim(regexp_replace(replace({FOLDED.format('text')}, '''', ''), '[^0-9a-z]+', ' ', 'g'))"""
 
 
@@ -714,10 +730,13 @@ def m9_new_products(m):
 @query()
 def m11_sequential(m):
     offers, products = _listed(m)
+    # offers of brands that the catalogue lacks, so that new products are made too
+    other = {c: F.regexp_replace(c, "^Brand#", "Marca ") for c in ("title", "brand_name")}
+    offers = offers.unionByName(offers.where("offer_id % 7 = 0").withColumns({"offer_id": F.col("offer_id") + 1000000, "ean": F.lit(None).cast("string"), **other}))
     name = T.display_name(F.col("title"), F.col("brand_name"))
     named = offers.select("offer_id", name.alias("name"), T.canonical_brand(F.col("brand_name")).alias("brand"))
     own = named.select("offer_id", T.name_tokens(F.col("name"), F.col("brand")).alias("own_tokens"))
-    return E.sequential(E.offer_keys(offers).join(own, "offer_id"), E.product_keys(products).where("product_id % 3 = 0")).groupBy("method").agg(F.count("*").alias("n"), F.count("product_id").alias("linked"), F.count("created_by").alias("made"))
+    return E.sequential(E.offer_keys(offers).join(own, "offer_id"), E.product_keys(products)).groupBy("method").agg(F.count("*").alias("n"), F.count("product_id").alias("linked"), F.count("created_by").alias("made"))
 
 
 VERDICTS = "select offer_id, product_id, case when (offer_id + product_id) % 3 = 0 then 'approved' else 'rejected' end as verdict, offer_id % 7 as at from queue where (offer_id + product_id) % 5 <> 0"

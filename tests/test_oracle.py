@@ -44,6 +44,12 @@ def test_runs(name, spark):
     assert QUERIES[name](spark, str(DATA)).count() > 0
 
 
-@pytest.mark.parametrize(("name", "table"), [("t2_brand_key_all", "documents")])
+def test_sequential_sees_the_whole_catalogue(spark):
+    """Identifiers of every product, and brands that no product has."""
+    got = {r.method: r for r in QUERIES["m11_sequential"](spark, str(DATA)).collect()}
+    assert got["ean"].linked == QUERIES["m2_by_ean"](spark, str(DATA)).count() and got["new_product"].made > 0
+
+
+@pytest.mark.parametrize(("name", "table"), [("t2_brand_key_all", "documents"), ("t1_fold_exact_all", "documents"), ("n9_offer_size_all", "part")])
 def test_whole_tables(name, table, spark):
     assert QUERIES[name](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
