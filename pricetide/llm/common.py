@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Code points handled at once by the vectorised operators.
 BLOCK_CHARS = 1_000_000
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (null: empty) and the columns asked for; others are left out, whatever their names."""
+    """doc_id, text (null: empty) and the columns asked for; others are left out, whatever their names.
+
+    Arrow batches are bounded by bytes for the rest of the session: 10,000 long texts would fill a worker's memory.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 

@@ -7,15 +7,16 @@ time and each distinct piece is merged once, by tiktoken's routine loaded with t
 ranks of the same file (the library's own takes thrice as long for a piece; the
 tests hold the ids against it). Texts with an apostrophe, a special token's name or
 letters that the normaliser may change go through the library as a whole, because
-there the cut depends on more than the kind of character. The memory is cleared
-when it holds `limit` pieces.
+there the cut depends on more than the kind of character. The memory goes by the
+pieces themselves and is cleared when it holds `limit` of them or `LETTERS` letters;
+longer pieces than `LONG` are not remembered beyond the texts at hand.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 
@@ -29,10 +30,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+LIMIT, LETTERS, LONG = 500_000, 6_000_000, 200
+
+
 class Encoder:
     """One vocabulary file, loaded once in a process."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -48,23 +52,28 @@ class Encoder:
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             bare = token.removesuffix("</w>") if self.mark else token
             ranks[bytes(byte[ord(c)] for c in bare) + self.mark * (bare != token)] = i
-        self.merge = tiktoken.Encoding("pieces", pat_str="x", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.merge = tiktoken.Encoding("pieces", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.limit = limit
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.at = self.n = np.zeros(0, np.int64)
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        merge, mark = self.merge, self.mark
-        ids = [merge(p.encode("utf-8") + mark) for p in pieces]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))])
-        self.n = np.concatenate([self.n, n])
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
+        self.known: dict[str, bytes] = {}
+        self.letters = 0
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some distinct pieces, as 32-bit numbers."""
+        if len(self.known) + len(pieces) > self.limit or self.letters > LETTERS:
+            self._forget()
+        known, merge, mark, out = self.known, self.merge, self.mark, []
+        for p in pieces:
+            ids = known.get(p)
+            if ids is None:
+                ids = array("I", merge(p.encode("utf-8") + mark)).tobytes()
+                if len(p) <= LONG:
+                    known[p] = ids
+                    self.letters += len(p)
+            out.append(ids)
+        return out
 
     def _cuts(self, r: W.Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where pieces start and end, and their text, in order."""
@@ -101,19 +110,13 @@ class Encoder:
         plain = ["" if i in odd else t if self.spaces_kept else t.lower() for i, t in enumerate(texts)]
         r = W.runs(plain)
         first, end, doc = self._cuts(r)
-        keys, where, inverse = np.unique(W.slice_hashes(r.points, first, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.limit:
-            self._forget()
-        index = np.fromiter(map(self.known.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            index[new] = len(self.known) + np.arange(len(new))
-            every = "\0".join(plain)
-            at = where[new]
-            self._learn(keys[new].tolist(), [every[a:b] for a, b in zip(first[at].tolist(), end[at].tolist())])
-        index = index[inverse]
-        n = self.n[index]
-        flat = self.flat[W.ragged(self.at[index], n)]
+        where, kind = W.distinct(r.points, first, end)
+        every = "\0".join(plain)
+        ids = self._ids([every[a:b] for a, b in zip(first[where].tolist(), end[where].tolist())])
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), np.uint32)
+        n = each[kind]
+        flat = pool[W.ragged((np.cumsum(each) - each)[kind], n)]
         cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, n, len(texts)).astype(np.int64))])
         out = [flat[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
         for i in odd:
@@ -121,6 +124,6 @@ class Encoder:
         return out
 
 
-@lru_cache(4)
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -1,51 +1,50 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
-A text is the sequence of its five-word shingles (words in small letters; a shorter
-text is one shingle). A sketch orders the shingles, each labelled with how often it
-occurred before, by a seeded hash, takes the `TAKEN` lowest and writes them down in the
-order of the text: two texts agree in a sketch with a probability that falls with their
-edit distance, as moved passages change the order. `SKETCHES` sketches are the keys of
-candidate search: two texts at 0.8 agree in none of them 15 times in 100,000, at 0.85 3 times
-in ten million; those at 0.6, which a shared passage can bring about, agree in one in sixty.
-
-The draw is without replacement, so short texts would be missed more often. Where one of two
-texts has `EXACT` shingles or fewer, candidates are exact instead: none at SIMILAR or more is
-missed. Texts that can be in such a pair take as keys the n // 5 + 1 shingles that fewest texts
-have (two texts at 0.8 share one of those). Of pairs of equal length at 0.8, computed from the
-draw, are missed: up to 64 shingles none, up to 90 0.04 %, up to 135 0.03 %, up to 270 0.024 %,
-beyond 0.019 % falling to 0.015 %.
-
-Candidates are verified by aligning the shingle sequences within a band as wide as a
-similarity of `SIMILAR` allows: with m shingles matched in order of n and k,
-similarity = m / (n + k - m), the Jaccard index of shingles that keep their order.
-
-Equal sequences are one text from the start. In a bucket (key of a sketch) each text is
-held against the bucket's leader only, the one with the lowest number by hash; those that
-don't match it stay for the next round, which has LEADERS times as many leaders a bucket,
-until none is left with another. So a group of copies costs one comparison for each, only
-texts that agree in a sketch without being similar cost more, and nothing is capped.
-
-A text that matched its leader A leaves the bucket without being held against the rest. 1 -
-similarity is a metric, so such a text B can be similar to a C only if A and C are at 2 * SIMILAR - 1
-or more, and at similarity(A, B) - (1 - SIMILAR) or more. All B and C of one leader for which an
-upper bound of A and C allows it, and which links so far leave in different classes, are held
-against each other at the end. So classes are those of comparing all pairs in each bucket. Texts
-linked at all are one class (connected components); of a class the lowest doc_id leads.
-
-Null and empty texts have no words and are one class of their own by equality. Rows
-with the same doc_id are kept apart. Columns besides doc_id and text are not read.
+A text is the sequence of its words (letters and digits, in small letters). Two texts are
+similar if aligning their words gives SIMILAR or more: with m words matched in order of n
+and k, similarity = m / (n + k - m). If five-word shingles aligned in order reach SIMILAR, the
+words do too; one changed word breaks five shingles but counts once.
+
+Candidates come from sketches of five-word shingles (a shorter text is one shingle). A sketch
+orders the shingles, each labelled with how often it occurred before, by a seeded hash, takes
+the lowest few and writes them down in the order of the text: two texts agree in it with a
+probability that falls with their edit distance, as moved passages change the order. KINDS
+lists how many shingles a sketch takes for texts of which length, and how many sketches there
+are; lengths overlap by more than two similar texts can differ. A pair that shares a share J
+of its shingles is found by one sketch of t with probability J^t or so, and missed by all with
+(1 - J^t)^sketches: for long texts at J = 0.7 4 in a million, at 0.6 2 in 10,000, at 0.5 8 in 1,000,
+at 0.4 9 in 100 (changed words spread evenly give J = 0.4 at a similarity of 0.8, 0.5 at 0.86, 0.6 at
+0.9); for those of 14 to 47 words 4 in a million at 0.6, 3 in 10,000 at 0.5, 8 in 1,000 at 0.4. Pairs
+without a five-word shingle in common are not found: so below five words only equal texts are.
+
+A bucket is a key of a sketch with all texts that have it. First, in the sketches below FIRST,
+each text is held against one leader of its bucket, which puts nearly all texts of a group of
+copies in one class at a cost of a few comparisons each. Then, in all sketches, only buckets with
+texts of different classes go on: each text is held against a leader drawn anew for that bucket
+if it is in another class, and mixed buckets are split by the texts' next sketch, with new leaders,
+SPLITS times. A member of a class stays in its bucket as long as that is mixed, so a text
+that is similar to it, but not to the leader, can still meet it. All work is in proportion to the
+texts in buckets; no bucket and no text's partners are capped. What is left to chance beside the
+sketches: a pair in a bucket that others lead is found there only if a split parts it from them
+or makes one of the two lead; it has as many buckets as sketches that it agrees in.
+
+Verification aligns the words within a band as wide as SIMILAR allows, many columns at a time
+in the bits of one number. Texts linked at all are one class (connected components); of a
+class the lowest doc_id leads. Equal word sequences are one text from the start; null and
+empty texts have none, and are one class by equality. Rows with the same doc_id are kept apart;
+a row without doc_id leads only where all of its class are without. Empty tables give no rows.
+Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import zlib
-from bisect import bisect_left
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -54,11 +53,11 @@ from .common import RAW, blocks, chosen, removed, shared_dir, staged, whole_text
 from .sanitise import folded
 
 SHINGLE, SIMILAR = 5, 0.8
-SKETCHES, TAKEN, LEADERS = 48, 8, 4
-#: Pairs with a text of so many shingles or fewer are found by rare shingles; a partner has at most a quarter more.
-EXACT = 64
-#: Two texts that are similar to a third are at least so similar (2 * SIMILAR - 1, less what rounding may take).
-LINKING = 2 * SIMILAR - 1 - 1e-9
+#: Texts of so many shingles, the lowest so many taken, so many sketches.
+KINDS = ((1, 16, 1, 16), (10, 64, 2, 28), (44, 1 << 40, 3, 36))
+FIRST, SPLITS = 12, 2
+#: Hashes held at once while sketching, and bytes of words in one Arrow batch of pairs.
+AT_ONCE = 1 << 21
 
 
 def word_ids(texts: list[str]) -> list[np.ndarray]:
@@ -93,9 +92,8 @@ def occurrences(x: np.ndarray) -> np.ndarray:
     return out
 
 
-_SEEDS = W.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-_PLACES = np.multiply.accumulate(np.full(TAKEN, 0x9DDFEA08EB382D69, np.uint64))  # tells orders apart
+_SEEDS = W.mixed(np.arange(1, max(k[3] for k in KINDS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_PLACES = np.multiply.accumulate(np.full(max(k[2] for k in KINDS), 0x9DDFEA08EB382D69, np.uint64))  # tells orders apart
 
 
 def labels(x: np.ndarray) -> np.ndarray:
@@ -103,37 +101,39 @@ def labels(x: np.ndarray) -> np.ndarray:
     return W.mixed(x + occurrences(x).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def sketches(x: np.ndarray) -> np.ndarray:
-    """SKETCHES keys of a shingle sequence."""
-    labelled = labels(x)
-    hashed = (labelled[None] ^ _SEEDS[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
-    hashed ^= hashed >> np.uint64(32)
-    k = min(TAKEN, len(x))
-    at = np.sort(np.argpartition(hashed, k - 1, axis=1)[:, :k], axis=1)
-    return W.mixed((labelled[at] * _PLACES[:k]).sum(1, dtype=np.uint64) ^ _SEEDS)
+def sketches(x: np.ndarray) -> list[np.ndarray]:
+    """The keys of a shingle sequence, for each of KINDS; none where it has another length."""
+    labelled, out = labels(x), []
+    for kind, (least, most, taken, n) in enumerate(KINDS):
+        if not least <= len(x) <= most:
+            out.append(np.zeros(0, np.int64))
+            continue
+        step, keys = max(1, AT_ONCE // len(x)), []
+        for seeds in np.split(_SEEDS[:n], range(step, n, step)):
+            hashed = (labelled[None] ^ seeds[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
+            hashed ^= hashed >> np.uint64(32)
+            k = min(taken, len(x))
+            at = np.sort(np.argpartition(hashed, k - 1, axis=1)[:, :k], axis=1) if taken > 1 else hashed.argmin(1)[:, None]
+            keys.append(W.mixed((labelled[at] * _PLACES[:k]).sum(1, dtype=np.uint64) ^ seeds + np.uint64(kind)))
+        out.append(np.concatenate(keys).view(np.int64))
+    return out
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sequences if SIMILAR or more, else 0; time and memory are length times band."""
-    return compared(a, b)[0]
-
-
-def compared(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """What `aligned` gives, and an upper bound of the similarity."""
+    """Similarity of two word sequences if SIMILAR or more, else 0."""
     n, k = len(a), len(b)
     if not n or not k:
-        return float(n == k), float(n == k)
+        return float(n == k)
     need = int(np.ceil(SIMILAR * (n + k) / (1 + SIMILAR) - 1e-9))  # matches that reach SIMILAR
+    if min(n, k) < need:
+        return 0.0
     head = _common(a, b)
     tail = _common(a[head:][::-1], b[head:][::-1])
     a, b = a[head : n - tail], b[head : k - tail]
-    most = head + tail + min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum()))
-    if most < need:
-        return 0.0, most / (n + k - most)
-    matched = head + tail + (_banded(a, b, n - need, k - need) if len(a) and len(b) else 0)
-    if matched >= need:
-        return matched / (n + k - matched), matched / (n + k - matched)
-    return 0.0, (need - 1) / (n + k - need + 1)
+    if head + tail + min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum())) < need:
+        return 0.0
+    matched = head + tail + (_banded(a.tolist(), b.tolist(), n - need, k - need) if len(a) and len(b) else 0)
+    return matched / (n + k - matched) if matched >= need else 0.0
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -142,41 +142,38 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else m
 
 
-def _banded(a: np.ndarray, b: np.ndarray, skip_a: int, skip_b: int) -> int:
-    """Longest common subsequence with at most skip_a elements of a and skip_b of b left out: rows of a, columns within the band."""
-    order = np.argsort(b, kind="stable")
-    ranked = b[order]
-    from_, to = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a, "right")
-    if int((to - from_).sum()) > 8 * len(a) + 1000:
-        return _by_rows(a, b, skip_a, skip_b)
-    i = np.repeat(np.arange(len(a)), to - from_)
-    j = order[W.ragged(from_, to - from_)]
-    band = (i - j <= skip_a) & (j - i <= skip_b)
-    i, j = i[band], j[band]
-    ends: list[int] = []  # ends[m]: the lowest place in b where a chain of m + 1 matches can end
-    for place in j[np.lexsort((-j, i))].tolist():
-        at = bisect_left(ends, place)
-        if at == len(ends):
-            ends.append(place)
-        else:
-            ends[at] = place
-    return len(ends)
-
-
-def _by_rows(a: np.ndarray, b: np.ndarray, skip_a: int, skip_b: int) -> int:
-    """The same for texts that repeat themselves, where matches are many: a row of the band at a time."""
-    width = skip_a + skip_b + 1
-    low = np.concatenate([np.zeros(skip_a, b.dtype), b, np.zeros(width, b.dtype)])  # column c of row i is b[i + c - skip_a]
-    inside = np.concatenate([np.zeros(skip_a, bool), np.ones(len(b), bool), np.zeros(width, bool)])
-    row = np.zeros(width, np.int32)
-    for i in range(min(len(a), len(low) - width)):
-        hit = (low[i : i + width] == a[i]) & inside[i : i + width]
-        up = np.append(row[1:], row[-1])
-        row = np.maximum.accumulate(np.where(hit, np.maximum(row + 1, up), up))
-    return int(row[-1])
-
-
-SKETCHED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("same", pa.string()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("short", pa.list_(pa.int64())), ("words", pa.binary())])
+def _banded(a: list[int], b: list[int], skip_a: int, skip_b: int) -> int:
+    """Longest common subsequence with at most skip_a elements of a and skip_b of b left out.
+
+    A row of the table is one number: its bit for column j of the band is 0 where the length
+    grows at j. Each element of a turns one row into the next; the band moves on by blocks.
+    """
+    row, low, high, done = 0, 0, 0, 0
+    step = max(128, (skip_a + skip_b) // 2)
+    for first in range(0, len(a), step):
+        part = a[first : first + step]
+        left, right = min(max(0, first - skip_a), high), min(len(b), first + len(part) + skip_b)
+        if left > low:
+            gone = row & ((1 << left - low) - 1)
+            done += left - low - gone.bit_count()
+            row >>= left - low
+            low = left
+        if right > high:
+            row |= ((1 << right - high) - 1) << high - low
+            high = right
+        where, wanted = {}, set(part)
+        for j, x in enumerate(b[low:high]):
+            if x in wanted:
+                where[x] = where.get(x, 0) | 1 << j
+        full = (1 << high - low) - 1
+        for x in part:
+            if hit := where.get(x):
+                hit &= row
+                row = (row + hit | row - hit) & full
+    return done + high - low - row.bit_count()
+
+
+SKETCHED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("same", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.list_(pa.int64()))), ("words", pa.binary())])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,121 +181,100 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both = pa.StructArray.from_arrays([batch.column(0), batch.column(2)], ["doc_id", "raw"])
         for pairs, texts in blocks(pa.RecordBatch.from_arrays([both, batch.column(1)], ["id", "text"])):
-            ids = [(x["doc_id"], x["raw"]) for x in pairs]
             out = {f.name: [] for f in SKETCHED}
-            for (i, raw), words in zip(ids, word_ids(texts)):
-                x = shingles(words)
-                small = words.astype(np.uint32).tobytes()
-                out["row"].append(row)
-                out["doc_id"].append(i)
-                out["raw"].append(raw)
-                out["same"].append(f"{len(words)}:{zlib.crc32(small):08x}{int(W.mixed(np.cumsum(W.mixed(words + np.arange(len(words), dtype=np.uint64)))[-1:])[0]) if len(words) else 0:016x}")
-                out["n"].append(len(x))
-                out["keys"].append(sketches(x).view(np.int64) if len(x) > EXACT else [])
-                out["short"].append(labels(x).view(np.int64) if 0 < len(x) <= EXACT * 5 // 4 else [])
-                out["words"].append(small)
+            for x, words in zip(pairs, word_ids(texts)):
+                values = (row, x["doc_id"], x["raw"], hashlib.blake2b(words.tobytes(), digest_size=16).digest(), len(words), sketches(shingles(words)) if len(words) else [], words.astype(np.uint32).tobytes())
+                for name, value in zip(out, values):
+                    out[name].append(value)
                 row += 1
             yield pa.RecordBatch.from_pydict(out, schema=SKETCHED)
 
 
+PAIRS = pa.schema([("row", pa.int64()), ("leader", pa.int64()), ("similarity", pa.float64())])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, leader, similarity, most: upper bound of it) of pairs of word sequences."""
     for batch in batches:
-        rows, leaders = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        found, last, other = [], None, None
-        for leader, a, b in zip(leaders, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if leader != last:
-                last, other = leader, shingles(np.frombuffer(b, np.uint32).astype(np.uint64))
-            found.append(compared(shingles(np.frombuffer(a, np.uint32).astype(np.uint64)), other))
-        yield pa.RecordBatch.from_pydict({"row": rows, "leader": leaders, "similarity": [x for x, _ in found], "most": [x for _, x in found]}, schema=PAIRS)
-
-
-PAIRS = pa.schema([("row", pa.int64()), ("leader", pa.int64()), ("similarity", pa.float64()), ("most", pa.float64())])
-
-
-def _rare(texts: DataFrame) -> DataFrame:
-    """(row, n, sketch, key): the rarest shingles of short texts, as many as two similar ones can't all differ in."""
-    each = texts.where("size(short) > 0").select("row", "n", F.explode("short").alias("key"))
-    known = each.join(each.groupBy("key").agg(F.count("*").alias("texts")), "key")
-    first = known.groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "key"))).alias("every"))
-    return first.select("row", "n", F.lit(SKETCHES).alias("sketch"), F.explode(F.expr("slice(every, 1, n div 5 + 1)")).alias("x")).where("x.texts > 1").select("row", "n", "sketch", "x.key")
-
-
-def links(texts: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(row, leader, similarity, most) of verified pairs among the rows in `distinct` of texts (row, n, keys, short, words)."""
-    spark = texts.sparkSession
-    wanted = texts.where("n > 0").select("row", "n", "keys", "short").join(distinct, "row", "left_semi")
-    members = staged(wanted.select("row", "n", F.posexplode("keys").alias("sketch", "key")).unionByName(_rare(wanted)))
-    crowded = members.groupBy("sketch", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    members = staged(members.join(crowded, ["sketch", "key"]))
-    wanted = staged(texts.select("row", "words").join(members.select("row").distinct(), "row", "left_semi"))
-    done, root, turn = [], shared_dir(spark), 0
-    tried = None
-    while True:
-        # a text has one number in all buckets, so that the same texts lead wherever they can
-        placed = members.withColumn("order", F.shiftrightunsigned(F.xxhash64("row"), 11) / F.lit(1 << 53))
-        sizes = placed.groupBy("sketch", "key").agg(F.min("order").alias("lowest"), F.count("*").alias("size")).where("size > 1")
-        leads = (F.col("order") == F.col("lowest")) | (F.col("order") * F.col("size") < (LEADERS**turn if turn else 0))
-        leaders = placed.join(sizes, ["sketch", "key"]).where(leads).select("sketch", "key", F.col("row").alias("leader"), F.col("n").alias("m"), F.col("order").alias("led"))
-        pairs = placed.join(leaders, ["sketch", "key"]).where("led < order").drop("led", "order")
-        pairs = staged(pairs.withColumn("near", F.expr(f"least(n, m) >= {LINKING} * greatest(n, m)")), f"{root}/pairs{turn}")
-        if pairs.isEmpty():
-            break
-        asked = pairs.where("near").select("row", "leader").distinct()
-        if tried is not None:
-            asked = asked.join(tried.select("row", "leader"), ["row", "leader"], "left_anti")
-        new = _held(asked, wanted, f"{root}/links{turn}")
-        done.append(f"{root}/links{turn}")
-        tried = spark.read.schema(new.schema).parquet(*done)
-        # who leads has been held against all others; who matched a leader is in its class
-        led = pairs.select("sketch", "key", F.col("leader").alias("row")).distinct()
-        met = pairs.join(tried.where(f"similarity >= {SIMILAR}").select("row", "leader"), ["row", "leader"], "left_semi").select("sketch", "key", "row").distinct()
-        members = staged(members.join(led.unionByName(met), ["sketch", "key", "row"], "left_anti"), f"{root}/members{turn}")
-        turn += 1
-    if tried is None:
-        return spark.createDataFrame([], from_arrow_schema(PAIRS))
-    similar = tried.where(f"similarity >= {SIMILAR}")
-    left = _chained(tried, similar)
-    return similar.unionByName(_held(left, wanted, f"{root}/chained").where(f"similarity >= {SIMILAR}"))
-
-
-def _held(asked: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+        found = [aligned(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)) for a, b in zip(batch.column(2), batch.column(3))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], schema=PAIRS)
+
+
+def _held(asked: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     """The pairs asked for (row, leader), verified."""
-    others = wanted.select(F.col("row").alias("leader"), F.col("words").alias("others"))
-    return staged(asked.join(wanted, "row").join(others, "leader").select("row", "leader", "words", "others").mapInArrow(_verified, from_arrow_schema(PAIRS)), path)
+    others = texts.select(F.col("row").alias("leader"), F.col("words").alias("others"))
+    both = asked.join(texts.select("row", "words"), "row").join(others, "leader")
+    return staged(both.select("row", "leader", "words", "others").mapInArrow(_verified, from_arrow_schema(PAIRS)), path)
 
 
-def _chained(tried: DataFrame, similar: DataFrame) -> DataFrame:
-    """(row, leader): texts that matched a leader and others that it may link, in different classes and not yet compared."""
-    classes = staged(components(similar))
-    placed = tried.join(classes, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    near = placed.where(f"similarity < {SIMILAR} and most >= {LINKING}").select("leader", F.col("row").alias("c"), F.col("root").alias("other"), "most")
-    met = placed.where(f"similarity >= {SIMILAR}").select("leader", F.col("row").alias("b"), "root", "similarity")
-    both = met.join(near, "leader").where(f"root <> other and most >= similarity - {1 - SIMILAR + 1e-9}")
-    pairs = both.select(F.greatest("b", "c").alias("row"), F.least("b", "c").alias("leader")).distinct()
-    known = tried.select(F.greatest("row", "leader").alias("row"), F.least("row", "leader").alias("leader"))
-    return pairs.join(known, ["row", "leader"], "left_anti")
+def _near(n: str, m: str) -> Column:
+    return F.expr(f"least({n}, {m}) >= {SIMILAR - 1e-9} * greatest({n}, {m})")
+
+
+def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs (row, leader, similarity) among texts (row, n, keys, words), and classes (row, root) of rows with one."""
+    spark, path = texts.sparkSession, shared_dir(texts.sparkSession)
+    each = _members(texts.withColumn("root", F.col("row")), FIRST)
+    first = _led(each, _mixed(each, F.xxhash64("row")))
+    tried = _held(first.where("root <> led").select("row", "leader").distinct(), texts, f"{path}/first")
+    classes = components(tried.where("similarity > 0"))
+    rooted = staged(texts.select("row", "n", "keys").join(classes, "row", "left").withColumn("root", F.coalesce("root", "row")))
+    each = _members(rooted)
+    asked = staged(_led(each, _mixed(each, F.xxhash64("row", "key"))))
+    pairs = asked
+    for depth in range(1, SPLITS + 1):
+        further = F.xxhash64("key", F.expr(f"keys[kind][(sketch + {depth}) % size(keys[kind])]"))
+        asked = asked.drop("leader", "m", "led").join(rooted.select("row", "keys"), "row").withColumn("key", further).drop("keys")
+        asked = staged(_led(asked, _mixed(asked, F.xxhash64("row", "key"))))
+        pairs = pairs.unionByName(asked)
+    pairs = pairs.where((F.col("root") != F.col("led")) & _near("n", "m")).select("row", "leader").distinct()
+    new = _held(pairs.join(tried.select("row", "leader"), ["row", "leader"], "left_anti"), texts, f"{path}/second")
+    similar = spark.read.schema(new.schema).parquet(f"{path}/first", f"{path}/second").where("similarity > 0")
+    edges = classes.withColumnRenamed("root", "leader").unionByName(new.where("similarity > 0").select("row", "leader"))
+    return similar, components(edges)
+
+
+def _members(texts: DataFrame, sketches: int | None = None) -> DataFrame:
+    """(row, n, root, kind, sketch, key): a row for each sketch of a text, of the first so many if that is said."""
+    lists = texts.where("n > 0").select("row", "n", "root", F.posexplode("keys").alias("kind", "list")).where("size(list) > 0")
+    return lists.select("row", "n", "root", "kind", F.posexplode(F.slice("list", 1, sketches) if sketches else "list").alias("sketch", "key"))
+
+
+def _mixed(members: DataFrame, order: Column) -> DataFrame:
+    """(key, leader, m, led): of buckets with several classes the text that is lowest in order, its length and class."""
+    leads = F.min(F.struct(order.alias("order"), F.col("row").alias("leader"), F.col("n").alias("m"), F.col("root").alias("led"))).alias("lead")
+    found = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), leads).where("low <> high")
+    return staged(found.select("key", "lead.leader", "lead.m", "lead.led"))
+
+
+def _led(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Members of mixed buckets, with the leader: a bucket of many texts is one that Spark can split here."""
+    return members.join(mixed, "key")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(row, root): the lowest row of each connected component, for rows that have edges (row, leader).
 
-    Alternating large and small stars: every row is linked to the lowest row it knows,
-    until nothing changes; hot rows spread over tasks as rows of an aggregation.
+    Alternating large and small stars: every row is linked to the lowest row it knows, until
+    nothing changes. What is joined by row is written first, so that Spark can split hot rows.
     """
     now = staged(edges.select(F.greatest("row", "leader").alias("a"), F.least("row", "leader").alias("b")).where("a <> b").distinct())
-    while True:
+    known = _summary(now)
+    while known[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        least = staged(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
+        large = staged(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
+        least = staged(large.groupBy("a").agg(F.min("b").alias("low")))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        small = small.unionByName(least.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
-        new = staged(small)
-        if new.count() == now.count() and new.join(now, ["a", "b"], "left_anti").isEmpty():
+        now = staged(small.where("a <> b").distinct())
+        before, known = known, _summary(now)
+        if known == before:
             break
-        now = new
-    return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "row")
+    return staged(now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("row"), "root"))
+
+
+def _summary(edges: DataFrame) -> tuple:
+    """The same for the same edges; each round that changes them lowers ends of edges."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright("b", 24))).first())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -312,16 +288,17 @@ def filtered(docs: DataFrame) -> DataFrame:
 
 
 def _classified(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    path = shared_dir(spark)
+    path = shared_dir(docs.sparkSession)
     sketched = staged(whole_texts(docs).withColumn("raw", F.expr(RAW)).mapInArrow(_sketched, from_arrow_schema(SKETCHED)), path)
-    firsts = sketched.groupBy("same").agg(F.min("row").alias("text"))
-    member = staged(sketched.select("row", "doc_id", "raw", "same").join(firsts, "same").select("row", "doc_id", "raw", "text"))
-    found = staged(links(sketched, firsts.select(F.col("text").alias("row"))).select("row", "leader", "similarity"))
+    firsts = staged(sketched.groupBy("same").agg(F.min("row").alias("text"), F.count("*").alias("copies")))
+    several = firsts.where("copies > 1").select("same", "text")
+    member = staged(sketched.select("row", "doc_id", "raw", "same").join(several, "same", "left").select("row", "doc_id", "raw", F.coalesce("text", "row").alias("text")))
+    texts = staged(sketched.select("row", "n", "keys", "words").join(firsts.select(F.col("text").alias("row")), "row", "left_semi"))
+    removed(docs.sparkSession, path)
+    found, root = links(texts)
     degree = found.select("row").unionByName(found.select(F.col("leader").alias("row"))).groupBy(F.col("row").alias("text")).agg(F.count("*").alias("n_links"))
-    root = components(found).withColumnRenamed("row", "text")
-    removed(spark, path)
-    classed = member.join(root, "text", "left").join(degree, "text", "left").select("row", "doc_id", "raw", F.coalesce("root", "text").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classed = staged(classed)
-    classes = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
-    return classed.join(classes, "root").select("doc_id", "raw", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"))
+    linked = staged(root.withColumnRenamed("row", "text").join(degree, "text"))
+    classed = staged(member.join(linked, "text", "left").select("row", "doc_id", "raw", F.coalesce("root", "text").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = staged(classed.groupBy("root").agg(first, F.count("*").alias("class_size")).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("leads"), "class_size"))
+    return classed.join(classes, "root").select("doc_id", "raw", "class_id", "class_size", "n_links", (F.col("row") == F.col("leads")).alias("kept"))

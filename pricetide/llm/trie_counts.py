@@ -5,7 +5,7 @@ distinct pre-tokens of a block of texts are inserted in a trie; walking it depth
 (they are sorted, so that only the path to the present node is held) each node gets its
 forward score once: the best sum of piece scores over all ways to cut the prefix that
 ends there, and the number of pieces of that way. What a word's last node holds is its
-terminal count, remembered for later blocks; a text's count is the sum over its words.
+terminal count, remembered by the word for later blocks; a text's count is the sum over its words.
 
 The pieces come from a sentencepiece file, never trained here. Its merge ranks stand in
 for probabilities by Zipf's law: log p = -log(rank + 3) - log H. A character that is no
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from .common import by_document
 
 BEGIN = "▁"
 UNKNOWN = -25.0
-LIMIT = 800_000
+LIMIT, LETTERS, LONG = 400_000, 5_000_000, 200
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -85,32 +84,36 @@ class Counter:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pieces, self.score = np.zeros(0, np.int64), np.zeros(0)
+        self.known: dict[str, tuple[int, float]] = {}
+        self.letters = 0
+
+    def _counts(self, words: list[str]) -> list[tuple[int, float]]:
+        """(pieces, score) of each of some distinct words."""
+        if len(self.known) + len(words) > LIMIT or self.letters > LETTERS:
+            self._forget()
+        known = self.known
+        new = [w for w in words if w not in known]
+        found = dict(zip(new, self.trie.counts([BEGIN + w for w in new])))
+        short = {w: x for w, x in found.items() if len(w) <= LONG}
+        out = [known[w] if w in known else found[w] for w in words]
+        known.update(short)
+        self.letters += sum(map(len, short))
+        return out
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, tokens and log likelihood of each text."""
         r = W.runs(texts, spaces_only=True)
         keep = r.kinds == W.OTHER
         starts, ends, doc = r.starts[keep], r.ends[keep], r.doc[keep]
-        keys, where, inverse = np.unique(W.slice_hashes(r.points, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > LIMIT:
-            self._forget()
-        index = np.fromiter(map(self.known.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            index[new] = len(self.known) + np.arange(len(new))
-            every, at = "\0".join(texts), where[new]
-            found = self.trie.counts([BEGIN + every[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            self.known.update(zip(keys[new].tolist(), index[new].tolist()))
-            self.pieces = np.concatenate([self.pieces, np.array([n for n, _ in found], np.int64)])
-            self.score = np.concatenate([self.score, np.array([s for _, s in found])])
-        index = index[inverse]
+        where, kind = W.distinct(r.points, starts, ends)
+        every = "\0".join(texts)
+        found = self._counts([every[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+        pieces, score = np.array([n for n, _ in found], np.int64), np.array([s for _, s in found])
         n = len(texts)
-        return np.bincount(doc, minlength=n), np.bincount(doc, self.pieces[index], n).astype(np.int64), np.bincount(doc, self.score[index], n)
+        return np.bincount(doc, minlength=n), np.bincount(doc, pieces[kind], n).astype(np.int64), np.bincount(doc, score[kind], n)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def counter(path: str) -> Counter:
     return Counter(path)
 

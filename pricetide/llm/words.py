@@ -57,26 +57,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0xD6E8FEB86659FD93
-_POWERS: list[np.ndarray] = []
+#: Two primes and a base for each: a hash modulo 2^64 gives some pieces of a thousand letters one value, whatever its base.
+_PRIMES = ((0x7FFFFFFF, 0x2545F491), (0x7FFFFFED, 0x1B873593))
+#: So many powers are kept from one call to the next.
+_KEPT = 1 << 21
+
+
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n - 1) modulo prime, by doubling."""
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+        have += more
+    return out
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Of an odd number and of its inverse, n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.multiply.accumulate(np.full(2 * n, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS
+@lru_cache(4)
+def _known_powers(base: int, prime: int) -> np.ndarray:
+    return _powers(base, prime, _KEPT)
 
 
 def slice_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each slice points[start:end]; equal slices have equal hashes, wherever they are."""
-    up, down = _powers(len(points) + 1)
-    value = (points.astype(np.uint64) + _STEP) * _MIX
-    value ^= value >> np.uint64(29)
-    value *= up[: len(points)]
-    total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(value, out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    n = len(points) + 1
+    spread = mixed(points.astype(np.uint64) + _STEP)
+    halves = []
+    for base, prime in _PRIMES:
+        p, inverse = np.uint64(prime), pow(base, -1, prime)
+        up, down = (_known_powers(x, prime)[:n] if n <= _KEPT else _powers(x, prime, n) for x in (base, inverse))
+        total = np.zeros(n, np.uint64)
+        np.cumsum(spread % p * up[:-1] % p, out=total[1:])
+        halves.append((total[ends] - total[starts]) % p * down[starts] % p)
+        spread >>= np.uint64(17)
+    return mixed((halves[0] << np.uint64(32) | halves[1]) + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def distinct(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which slices are the first of their kind, and for each slice its kind. Slices are compared, not only their hashes."""
+    _, first, kind = np.unique(slice_hashes(points, starts, ends), return_index=True, return_inverse=True)
+    if not len(first):
+        return first, kind
+    n = ends - starts
+    other = np.repeat(np.arange(len(starts)), n)
+    like = starts[first][kind]
+    same = n == (ends[first] - starts[first])[kind]
+    at = np.flatnonzero(same[other])
+    offset = ragged(np.zeros(len(starts), np.int64), n)[at]
+    of = other[at]
+    unlike = of[points[starts[of] + offset] != points[like[of] + offset]]
+    same[unlike] = False
+    odd = np.flatnonzero(~same)
+    if len(odd):  # kinds of their own, told apart by what they are
+        own: dict[bytes, int] = {}
+        more = [own.setdefault(points[starts[i] : ends[i]].tobytes(), len(own)) for i in odd.tolist()]
+        kind[odd] = np.array(more) + len(first)
+        first = np.concatenate([first, odd[np.unique(more, return_index=True)[1]]])
+    return first, kind
 
 
 @dataclass
