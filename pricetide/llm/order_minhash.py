@@ -223,7 +223,7 @@ def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = asked
     for depth in range(1, SPLITS + 1):
         further = F.xxhash64("key", F.expr(f"keys[kind][(sketch + {depth}) % size(keys[kind])]"))
-        asked = asked.drop("leader", "m", "led").join(rooted.select("row", "keys"), "row").withColumn("key", further).drop("keys")
+        asked = staged(asked.drop("leader", "m", "led").join(rooted.select("row", "keys"), "row").withColumn("key", further).drop("keys"))
         asked = staged(_led(asked, _mixed(asked, F.xxhash64("row", "key"))))
         pairs = pairs.unionByName(asked)
     pairs = pairs.where((F.col("root") != F.col("led")) & _near("n", "m")).select("row", "leader").distinct()

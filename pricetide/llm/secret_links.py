@@ -3,10 +3,12 @@
 Strong patterns (assignments, access identifiers, long hexadecimal strings) are
 reported by themselves. Weak parts are reported only where complementary parts meet
 in one scope: an interval of `SCOPE` code points around a part. The parts of a text
-are joined by interval (sorted starts, two bisections each), never pair by pair.
+are joined by interval (sorted starts and ends, one bisection each), never pair by pair.
+Parts are matched in whole texts at their whole length; what overlaps a part is no complement of it.
 
 Null and empty texts have no spans; a doc_id may be null or repeated, each row gets
-its own result; columns besides doc_id and text are not read.
+its own result; spans with one start go by kind; an empty table gives no rows; columns
+besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -49,18 +51,16 @@ def base_spans(text: str) -> list[Span]:
 
 
 class _Parts:
-    """Disjoint intervals of one role, sorted, to be asked for those near another."""
+    """Intervals of one role, to be asked for those near another; they may overlap or lie in one another."""
 
     def __init__(self, spans: list[tuple[int, int]]):
-        self.spans = sorted(spans)
-        self.starts = [s for s, _ in self.spans]
-        self.ends = [e for _, e in self.spans]
+        self.starts = sorted(s for s, _ in spans)
+        self.ends = sorted(e for _, e in spans)
 
     def near(self, start: int, end: int) -> bool:
         """Is one within SCOPE of [start, end) without overlapping it?"""
-        lo, hi = bisect_left(self.ends, start - SCOPE), bisect_right(self.starts, end + SCOPE)
-        clear = bisect_right(self.ends, start) > lo  # ends before it starts
-        return lo < hi and (clear or bisect_left(self.starts, end) < hi)
+        before, after = bisect_right(self.ends, start) - 1, bisect_left(self.starts, end)
+        return before >= 0 and start - self.ends[before] <= SCOPE or after < len(self.starts) and self.starts[after] - end <= SCOPE
 
 
 def _looks_random(value: str) -> bool:
@@ -74,9 +74,8 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     access = [(s, e) for k, s, e in base if k == "access"]
     if not access and not weak_access:
         return []  # a secret without an identifier isn't a multipart credential
-    around = _scopes([*access, *weak_access], len(text))
-    weak_secret = [(m.start(), m.end()) for a, b in around for m in WEAK_SECRET.finditer(text, a, b) if _looks_random(m[0])]
-    endpoints = _touching([m.span() for m in ENDPOINT.finditer(text)] if "://" in text else [], around)
+    weak_secret = [m.span() for m in WEAK_SECRET.finditer(text) if _looks_random(m[0])]
+    endpoints = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
     secret = [(s, e) for k, s, e in base if k in ("assign", "hex")]
     strong_access, strong_secret = _Parts(access), _Parts(secret)
     all_access, all_secret, hosts = _Parts([*access, *weak_access]), _Parts([*secret, *weak_secret]), _Parts(endpoints)
@@ -93,24 +92,6 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     return sorted(set(out), key=lambda x: (x[1], x[0], x[2]))
 
 
-def _touching(spans: list[tuple[int, int]], around: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of disjoint sorted spans those, at their whole length, that reach into one of the disjoint sorted stretches."""
-    ends = [b for _, b in around]
-    return [(s, e) for s, e in spans if (k := bisect_left(ends, s)) < len(around) and around[k][0] <= e]
-
-
-def _scopes(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """The stretches within twice SCOPE of a span, merged where they meet, so that each character is searched once."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        a, b = max(0, s - 2 * SCOPE), min(n, e + 2 * SCOPE)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_linked", pa.int64())])
 
 
