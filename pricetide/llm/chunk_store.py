@@ -11,14 +11,14 @@ ids together from recipes and chunks and compares the documents' roots.
 
 Files (in a shared folder)
   packs     rows in ascending doc_id (those without one last): file, doc_id, row, start
-            (ids of all documents before it), n, recipe (CHUNK records), body (the ids of
-            the chunks that it wrote), root
-  manifest  a row for each file of packs: file, first, rows, ids, root
+            (ids of the documents before it in its file), n, recipe (CHUNK records), body (the
+            ids of the chunks that it wrote), root
+  manifest  a row for each file of packs: file, first (ids in the files before it), rows, ids, root
 
-Ids are 16-bit if the vocabulary allows, else 32-bit. Which ranges of doc_id are files is
-decided by approximate quantiles; bounds and totals of files come to the driver, one each
-for about FILE_IDS ids. A chunk that very many documents share is joined to its readers by
-digest; only chunks with several readers travel when the files are read.
+Ids are 16-bit if the vocabulary allows, else 32-bit. Files are ranges of (doc_id, row), one for
+about FILE_IDS ids, dealt by Spark's range partitioning; the driver gets the number of ids alone. A
+chunk that very many documents share is joined to its readers by digest, in joins that Spark can
+split; only chunks with several readers travel when the files are read.
 
 Null and empty texts are the end id alone. Rows with the same or no doc_id are kept apart.
 Empty tables give no rows. Columns besides doc_id and text are not read.
@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -118,7 +118,7 @@ def _places(journal: DataFrame) -> DataFrame:
     """(row, marks): the chunks of a row that others read too (3 * place + SHARED) or that are written elsewhere (+ ELSEWHERE)."""
     refs = journal.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.posexplode("digests").alias("place", "digest"))
     several = refs.groupBy("digest").agg(F.min(F.struct("key", "row", "place")).alias("owner"), F.count("*").alias("readers")).where("readers > 1")
-    known = refs.join(several.select("digest", F.col("owner.row").alias("owner_row"), F.col("owner.place").alias("owner_place")), "digest")
+    known = refs.join(staged(several.select("digest", F.col("owner.row").alias("owner_row"), F.col("owner.place").alias("owner_place"))), "digest")
     mark = F.when((F.col("row") == F.col("owner_row")) & (F.col("place") == F.col("owner_place")), F.col("place") * 3 + SHARED).otherwise(F.col("place") * 3 + ELSEWHERE)
     return known.groupBy("row", "key").agg(F.collect_list(mark).alias("marks"))
 
@@ -130,31 +130,19 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
     journal = staged(_encoded(docs, path, end), root, "zstd")
     total = journal.agg(F.sum("n")).first()[0] or 0
     n = max(1, round(total / FILE_IDS))
-    bounds = np.array(sorted({int(x) for x in journal.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.1 / n)}), np.int64) if n > 1 else np.zeros(0, np.int64)
-
-    @F.pandas_udf("int")
-    def file_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right").astype(np.int32))
-
     key = F.coalesce("doc_id", F.lit(LAST)).alias("key")
-    sizes = journal.select(key, "n").groupBy(file_of("key").alias("file")).agg(F.sum("n").alias("n")).collect()
-    before, first = 0, {}
-    for r in sorted(sizes, key=lambda r: r["file"]):
-        first[r["file"]], before = before, before + r["n"]
     marks = _places(journal).select("key", "row", F.lit(0).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("lengths"), F.lit(None).cast("array<binary>").alias("digests"), "marks")
     parts = journal.select(key, "row", F.lit(1).alias("part"), "doc_id", "n", "ids", "lengths", "digests", F.lit(None).cast("array<int>").alias("marks")).unionByName(marks)
-    dealt = parts.withColumn("file", file_of("key")).repartition(len(first) or 1, "file").sortWithinPartitions("file", "key", "row", "part")
+    dealt = parts.repartitionByRange(n, "key", "row").sortWithinPartitions("key", "row", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, start, held, held_row = None, 0, [], None
+        file, start, held, held_row = TaskContext.get().partitionId(), 0, [], None
         for batch in batches:
             out = {f.name: [] for f in PACK}
             for r in batch.to_pylist():
                 if not r["part"]:
                     held, held_row = r["marks"], r["row"]
                     continue
-                if r["file"] != file:
-                    file, start = r["file"], first[r["file"]]
                 marked = held if held_row == r["row"] else []
                 recipe, body = _packed(r["ids"], r["n"], r["lengths"], r["digests"], marked)
                 kinds = recipe["kind"]
@@ -166,30 +154,37 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
 
     packs = staged(dealt.mapInArrow(run, from_arrow_schema(PACK)), f"{folder}/packs", "zstd")
     removed(spark, root)
-    _files(packs).write.parquet(f"{folder}/manifest")
+    _manifest(packs).write.parquet(f"{folder}/manifest")
 
 
 MANIFEST = pa.schema([("file", pa.int32()), ("first", pa.int64()), ("rows", pa.int64()), ("ids", pa.int64()), ("root", pa.string())])
 
 
-def _files(packs: DataFrame) -> DataFrame:
+def _manifest(packs: DataFrame) -> DataFrame:
     """What the manifest says of each file of packs."""
 
     @F.pandas_udf("string")
     def root(roots: pd.Series) -> pd.Series:
         return pd.Series([merkle([bytes(x["root"]) for x in r]).hex() for r in roots])
 
-    rows = packs.groupBy("file").agg(F.min("start").alias("first"), F.count("*").alias("rows"), F.sum("n").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "row", "root"))).alias("roots"))
-    return rows.select("file", "first", "rows", "ids", root("roots").alias("root"))
+    rows = packs.groupBy("file").agg(F.count("*").alias("rows"), F.sum("n").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "row", "root"))).alias("roots"))
+    files = staged(rows.select("file", "rows", "ids", root("roots").alias("root"))).withColumn("group", F.expr("file div 1000"))
+    # ids before a file: those of the groups before its group, and of the files before it there
+    groups = files.groupBy("group").agg(F.sum("ids").alias("_ids"))
+    groups = groups.select("group", (F.sum("_ids").over(Window.orderBy("group")) - F.col("_ids")).alias("before"))
+    inside = F.sum("ids").over(Window.partitionBy("group").orderBy("file")) - F.col("ids")
+    return files.withColumn("inside", inside).join(groups, "group").select("file", (F.col("before") + F.col("inside")).alias("first"), "rows", "ids", "root")
 
 
-def verify(spark: SparkSession, folder: str) -> None:
-    """Raises if files of packs aren't those of the manifest: rows, ids and root of each."""
+def verify(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest; raises if files of packs aren't those it lists: order, rows, ids and root of each."""
     packs = spark.read.schema(from_arrow_schema(PACK)).parquet(f"{folder}/packs")
     said = spark.read.schema(from_arrow_schema(MANIFEST)).parquet(f"{folder}/manifest")
-    wrong = _files(packs).exceptAll(said).select("file").union(said.exceptAll(_files(packs)).select("file")).distinct().limit(10).collect()
+    found = staged(_manifest(packs))
+    wrong = found.exceptAll(said).select("file").union(said.exceptAll(found).select("file")).distinct().limit(10).collect()
     if wrong:
         raise ValueError(f"files {sorted(r['file'] for r in wrong)} of {folder}/packs aren't those of the manifest")
+    return said
 
 
 def _packed(ids: bytes, n: int, lengths: bytes, digests: list[bytes], marks: list[int]) -> tuple[np.ndarray, bytes]:
@@ -206,7 +201,7 @@ def _packed(ids: bytes, n: int, lengths: bytes, digests: list[bytes], marks: lis
     return recipe, b"".join(ids[e - c * size : e] for e, c, k in zip(ends.tolist(), length.tolist(), recipe["kind"].tolist()) if k != ELSEWHERE)
 
 
-READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+READ = pa.schema([("doc_id", pa.int64()), ("file", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def _whole(r: dict, others: dict[int, bytes]) -> np.ndarray:
@@ -229,7 +224,7 @@ def _whole(r: dict, others: dict[int, bytes]) -> np.ndarray:
 
 def _summary(rows: list[tuple[dict, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
-        {"doc_id": [r["doc_id"] for r, _ in rows], "start": [r["start"] for r, _ in rows], "n_tokens": [len(x) for _, x in rows], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for _, x in rows]}, schema=READ
+        {"doc_id": [r["doc_id"] for r, _ in rows], "file": [r["file"] for r, _ in rows], "start": [r["start"] for r, _ in rows], "n_tokens": [len(x) for _, x in rows], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for _, x in rows]}, schema=READ
     )
 
 
@@ -289,15 +284,16 @@ LAST_PLACE = 2**31 - 1
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone, once they agree with the manifest."""
-    verify(spark, folder)
+    files = verify(spark, folder).select("file", "first")
     packs = spark.read.schema(from_arrow_schema(PACK)).parquet(f"{folder}/packs")
     schema = from_arrow_schema(READ)
     alone = packs.where("not borrows").mapInArrow(_alone, schema)
     lent = packs.where("shares").select("recipe", "body").mapInArrow(_lent, from_arrow_schema(CHUNKS))
     wanted = packs.where("borrows").select("row", "recipe").mapInArrow(_borrowed, from_arrow_schema(WANTED))
-    chunks = wanted.join(lent, "digest").select("row", "place", F.col("chunk").alias("body"), *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("start", "long"), ("recipe", "binary"), ("root", "binary"))))
-    rows = packs.where("borrows").select("row", F.lit(LAST_PLACE).alias("place"), "body", "doc_id", "start", "recipe", "root")
-    return alone.unionByName(rows.unionByName(chunks).repartition("row").sortWithinPartitions("row", "place").mapInArrow(_together, schema))
+    chunks = wanted.join(lent, "digest").select("row", "place", F.col("chunk").alias("body"), *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("file", "int"), ("start", "long"), ("recipe", "binary"), ("root", "binary"))))
+    rows = packs.where("borrows").select("row", F.lit(LAST_PLACE).alias("place"), "body", "doc_id", "file", "start", "recipe", "root")
+    found = alone.unionByName(rows.unionByName(chunks).repartition("row").sortWithinPartitions("row", "place").mapInArrow(_together, schema))
+    return found.join(files, "file").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def stored(docs: DataFrame, path: str, end: int = END) -> DataFrame:
