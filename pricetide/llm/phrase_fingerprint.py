@@ -35,6 +35,8 @@ from .spans import sha256
 LEVEL, KEPT, TOSSES, HIGHEST = 2, 64, 4, 40
 #: Code points in one range of documents, and in what is parsed at once, about.
 RANGE_CHARS, BLOCK = 8_000_000, 400_000
+#: Ranges at most, however many documents there are: all that the driver holds. Ranges are sorted with spilling and parsed in blocks.
+RANGES = 20_000
 
 
 def _coin_tosses(x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -164,12 +166,12 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     """Each text's fingerprint, that of its edited text, and how alike they and the next document's are.
 
     The documents are dealt into ranges of doc_id (bounds: approximate quantiles, one for
-    about RANGE_CHARS code points); the first document of each range is sent to the range
-    before as well. Only bounds and the ranges' highest doc_id come to the driver.
+    about RANGE_CHARS code points, RANGES at most); the first document of each range is sent to
+    the range before as well. Only bounds and the ranges' highest doc_id come to the driver.
     """
     rows = whole_texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, round(chars / RANGE_CHARS))
+    n = min(RANGES, max(1, round(chars / RANGE_CHARS)))
     bounds = np.array(sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.1 / n)}), np.int64) if n > 1 else np.zeros(0, np.int64)
 
     @F.pandas_udf("int")
@@ -179,8 +181,12 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     tops = rows.select("key").withColumn("range", range_of("key")).groupBy("range").agg(F.max("key").alias("top")).orderBy("range").collect()
     order = [r["range"] for r in tops]
     before = {r["top"]: order[i - 1] for i, r in enumerate(tops)}
-    shown = F.create_map(*(x for k, v in before.items() for x in (F.lit(k).cast("long"), F.lit(v))))[F.col("key")] if before else F.lit(None).cast("int")
-    placed = rows.withColumn("range", range_of("key")).withColumn("shown", shown)
+
+    @F.pandas_udf("int")
+    def shown_in(key: pd.Series) -> pd.Series:
+        return key.map(before).astype("Int32")
+
+    placed = rows.withColumn("range", range_of("key")).withColumn("shown", shown_in("key"))
     pairs = F.filter(F.array(F.struct(F.col("range"), F.lit(False).alias("last")), F.struct(F.col("shown").alias("range"), F.lit(True).alias("last"))), lambda x: x["range"].isNotNull())
     dealt = placed.select("doc_id", "text", "key", F.inline(pairs))
     # of several rows with the highest doc_id of a range, those after the first stay out of the way behind it
