@@ -23,12 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def whole_texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (null: empty) and the columns asked for; others are left out, whatever their names.
-
-    Arrow batches are bounded by bytes for the rest of the session: 10,000 long texts would fill a worker's memory.
-    """
+def small_batches(docs: DataFrame) -> None:
+    """Bounds Arrow batches by bytes for the rest of the session: 10,000 long texts would fill a worker's memory."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def whole_texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text (null: empty) and the columns asked for; others are left out, whatever their names."""
+    small_batches(docs)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
@@ -56,10 +58,12 @@ def chosen(docs: DataFrame, decided: DataFrame, once: bool) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below a local one only where that setting is missing."""
+    """A new folder below spark.checkpoint.dir, or below the folder set by setCheckpointDir. If neither is: an error on a cluster, a local folder where all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isEmpty() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if known.isEmpty():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pricetide-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()

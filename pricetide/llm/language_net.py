@@ -6,12 +6,13 @@ and a text's language is the one with the highest mean log probability over all
 windows, weighted by how many bytes they have. `score` is the mean probability of it.
 
 Training rows: labelled texts with crc32(doc_id) mod 5 <> 0, at most `SAMPLE` of them
-(those with the lowest hash of doc_id, ties included) and `PER_TEXT` windows spread
-evenly over each; every class gets the same share of the steps. Only text goes in.
+(those with the lowest hash of doc_id, of equal ones those with the lowest hash of their
+text) and `PER_TEXT` windows spread evenly over each; every class gets the same share of the steps. Only text goes in.
 
 Null texts and texts without a letter are `und` with score 0. Without any labelled
 text every other text is `und` as well. A null doc_id is not held out and not learned
-from. Columns besides doc_id, text and lang are not read.
+from. Of equally likely languages the first by name is given. Empty tables give no rows. Columns
+besides doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_document
+from .common import blocks, by_document, small_batches
 
 LENGTH, EMBEDDED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 8
 SAMPLE, PER_TEXT, STEPS, BATCH = 4000, 4, 900, 96
@@ -108,13 +109,16 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def learned(docs: DataFrame) -> Net | None:
     """The network of a table's labelled rows outside the held-out fifth."""
-    rows = docs.select("doc_id", "text", "lang").where(f"lang is not null and text is not null and not ({HELD_OUT})").withColumn("_order", F.xxhash64("doc_id"))
-    last = rows.select("_order").orderBy("_order").limit(SAMPLE).agg(F.max("_order")).first()[0]
-    if last is None:
-        return None
+    rows = docs.select("doc_id", "text", "lang").where(f"lang is not null and text is not null and not ({HELD_OUT})")
     chars = f"greatest(char_length(text) - {LENGTH}, 0)"
     windows = F.expr(f"array_distinct(transform(sequence(0, {PER_TEXT - 1}), k -> substring(text, cast(k * {chars} div {PER_TEXT - 1} as int) + 1, {LENGTH})))")
-    sample = rows.where(F.col("_order") <= last).select("doc_id", "lang", windows.alias("windows")).orderBy("doc_id", "lang", "windows").collect()
+    rows = rows.withColumn("_order", F.struct(F.xxhash64("doc_id").alias("a"), F.xxhash64("text", "lang").alias("b")))
+    last = rows.select("_order").orderBy("_order").limit(SAMPLE).agg(F.max("_order").alias("x")).select("x.a", "x.b").first()
+    if last["a"] is None:
+        return None
+    # more than SAMPLE only if the last ones are one row, repeated
+    picked = rows.where(F.col("_order") <= F.struct(F.lit(last["a"]).alias("a"), F.lit(last["b"]).alias("b"))).limit(SAMPLE)
+    sample = sorted(picked.select("doc_id", "lang", windows.alias("windows")).collect())
     languages = sorted({r["lang"] for r in sample})
     texts = [(w.encode("utf-8", "replace")[:LENGTH], languages.index(r["lang"])) for r in sample for w in r["windows"] if any(map(str.isalpha, w))]
     if not texts:
@@ -160,6 +164,7 @@ def identify(docs: DataFrame, net: Net | None = None) -> DataFrame:
 
 def filtered(docs: DataFrame, net: Net | None, certain: float) -> DataFrame:
     """The rows of `docs`, all columns, whose text has a letter and, if there is a network, a language of at least that score."""
+    small_batches(docs)
     place = docs.columns.index("text")
 
     def run(batches):

@@ -1,15 +1,22 @@
 """Mixing sources to target weights by iterative proportional fitting. DataFrame operations only.
 
-Documents fall into cells by source, language and topic. A cell's weight starts as its
-share of all tokens and is raked in turn to the target shares of sources, languages and
-topics, ROUNDS times. A document's probability is rate * weight / tokens of its cell, 1 at
-most, with the rate at which the sample is expected to hold KEEP of all tokens; it is
-taken if a number drawn from its doc_id by hash is below that. So the sample doesn't
-depend on partitions, and other documents of a cell don't change who is drawn first.
+Documents fall into cells by source, language and topic. The sample is to hold KEEP of all
+tokens, shared out among sources, languages and topics as their targets say. A cell's quota starts
+as its tokens and is raked in turn to the targets of sources, languages and topics, ROUNDS times.
+Nothing can give more than it has: a value with too few tokens for its target gives all, and the
+others share the rest as their targets say (found in FILLS steps); a cell's quota stays at its tokens,
+and what its value still lacks is raised from other cells. A document's probability is its cell's quota by
+its tokens; it is taken if a number drawn from its doc_id by hash is below that. So the sample
+doesn't depend on partitions, and other documents of a cell don't change who is drawn first.
+`residual` tells for each document by how much the expected share of its source, language or topic
+misses the target at most: it is not 0 where a value has too few tokens for its target.
+
+Only factors of values and a few sums are computed, by grouping: no task sees all cells, and none
+holds a source whole.
 
 Targets are tables (value, share); those left out are the present shares to the power
 given in TEMPER, which moves weight from large groups to small ones. Values without a
-target keep no weight; targets of values that don't occur are spread over the others.
+target keep no weight; targets of values that don't occur are not met, and the sample is less by them.
 
 Tokens are stretches without white space, counted over whole texts. The topic is the
 column `topic` if the table has one, else the register of the text (REGISTER). Null
@@ -21,12 +28,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chosen, staged
 
-ROUNDS, KEEP = 12, 0.8
+ROUNDS, FILLS, KEEP = 6, 4, 0.8
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 TOKEN = r"[^ \t\r\n]+"
 REGISTER = """case when 20 * marks > n_tokens then 'markup' when 20 * digits > n_tokens then 'numeric'
@@ -44,37 +51,45 @@ def sized(docs: DataFrame) -> DataFrame:
     return counted.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), known.alias("topic"), "n_tokens", F.xxhash64("_text").alias("raw"), (number / F.lit(DRAWN)).alias("drawn"))
 
 
-def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with `weight`, of sum 1; a row for each cell, however many documents it has."""
-    everything = Window.partitionBy()
-    out = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything))
+def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cells (source, lang, topic, tokens) with `quota`, the tokens to take of each; by dimension its values with `residual`."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    goals = {}
     for by, power in TEMPER.items():
+        sums = cells.groupBy(by).agg(F.sum("tokens").alias("tokens"))
         if targets and by in targets:
-            out = out.join(targets[by].select(F.col("value").alias(by), F.col("share").alias(f"_{by}")), by, "left").fillna(0.0, [f"_{by}"])
+            wanted = targets[by].groupBy(F.col("value").alias(by)).agg(F.sum("share").alias("share"))
+            sums = sums.join(wanted, by, "left").fillna(0.0, ["share"])
         else:
-            out = out.withColumn(f"_{by}", F.pow(F.sum("weight").over(Window.partitionBy(by)), F.lit(power)))
-        # a share for each value, 1 in all: each cell has its part of its value's
-        part = F.col("weight") / F.sum("weight").over(Window.partitionBy(by))
-        out = out.withColumn(f"_{by}", F.col(f"_{by}") / F.sum(F.col(f"_{by}") * part).over(everything))
-    out = staged(out)
-    for turn in range(rounds):
+            sums = sums.withColumn("share", F.pow(F.col("tokens") / F.lit(total), F.lit(power)))
+        sums = staged(sums)
+        every = sums.agg(F.sum("share")).first()[0] or 1.0
+        sums, rate = sums.withColumn("share", F.col("share") / F.lit(every)), total * keep
+        for _ in range(FILLS):
+            most = F.col("share") * F.lit(rate) >= F.col("tokens")
+            full, free = sums.agg(F.sum(F.when(most, F.col("tokens")).otherwise(0)), F.sum(F.when(most, 0.0).otherwise(F.col("share")))).first()
+            rate = (total * keep - full) / free if free else rate
+        goals[by] = staged(sums.select(by, (F.col("share") * F.lit(total * keep)).alias("target"), F.least(F.col("tokens").cast("double"), F.col("share") * F.lit(rate)).alias("goal")))
+    out = cells.withColumn("quota", F.col("tokens") * F.lit(keep))
+    for _ in range(rounds):
         for by in TEMPER:
-            out = out.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"_{by}") / F.nullif(F.sum("weight").over(Window.partitionBy(by)), F.lit(0.0)), F.lit(0.0)))
-        if turn % 3 == 2:  # short plans
-            out = staged(out)
-    return out.withColumn("weight", F.col("weight") / F.sum("weight").over(everything)).drop(*(f"_{by}" for by in TEMPER))
+            out = _bounded(out, goals[by], by)
+        out = staged(out)
+    said = {}
+    for by, goal in goals.items():
+        sums = out.groupBy(by).agg(F.sum("quota").alias("quota")).join(goal, by)
+        said[by] = staged(sums.select(by, F.abs((F.col("quota") - F.col("target")) / F.lit(total * keep or 1.0)).alias("residual")))
+    return out, said
 
 
-def calibrated(weighted: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Cells with `probability`. Cells in order of weight per token: the first k are taken whole, the rest at one rate."""
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.desc("_per"), "source", "lang", "topic").rowsBetween(Window.unboundedPreceding, -1)
-    out = weighted.withColumn("_per", F.col("weight") / F.col("tokens"))
-    out = out.withColumns({"_before": F.coalesce(F.sum("tokens").over(order), F.lit(0)), "_weight": F.coalesce(F.sum("weight").over(order), F.lit(0.0)), "_all": F.sum("tokens").over(everything)})
-    out = out.withColumn("_rate", F.expr(f"(_all * {keep!r}D - _before) / nullif(1.0D - _weight, 0)"))
-    rate = F.min(F.expr("case when _rate * _per <= 1 then struct(_before, _rate) end")).over(everything)
-    out = out.withColumn("_first", rate["_rate"])
-    return out.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_first") * F.col("_per"))), F.lit(1.0))).drop("_per", "_before", "_weight", "_all", "_rate", "_first")
+def _bounded(cells: DataFrame, goal: DataFrame, by: str) -> DataFrame:
+    """Quotas of each value's cells that aren't full are raised or lowered to its goal; if even the full ones are too much, all are lowered."""
+    full = F.col("quota") >= F.col("tokens")
+    sums = cells.groupBy(by).agg(F.sum(F.when(full, F.col("quota")).otherwise(0.0)).alias("_full"), F.sum(F.when(full, 0.0).otherwise(F.col("quota"))).alias("_free"))
+    free = F.expr("_free > 0 and goal > _full")
+    rates = sums.join(goal, by).select(by, F.when(free, F.expr("(goal - _full) / _free")).otherwise(F.expr("goal / nullif(_full + _free, 0.0D)")).alias("_rate"), free.alias("_part"))
+    moved = F.when(F.col("_part") & full, F.col("quota")).otherwise(F.col("quota") * F.coalesce("_rate", F.lit(0.0)))
+    return cells.join(rates, by).withColumn("quota", F.least(moved, F.col("tokens").cast("double"))).select("source", "lang", "topic", "tokens", "quota")
 
 
 def filtered(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
@@ -83,17 +98,21 @@ def filtered(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, ke
 
 
 def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """One row a document: doc_id, source, lang, topic, n_tokens, weight of its cell, probability, kept."""
+    """One row a document: doc_id, source, lang, topic, n_tokens, weight (its cell's share of the sample's tokens), probability, residual, kept."""
     return _decided(docs, targets, keep, rounds).drop("raw")
 
 
 def _decided(docs: DataFrame, targets: Mapping[str, DataFrame] | None, keep: float, rounds: int) -> DataFrame:
     rows = staged(sized(docs))
     cells = staged(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
-    rated = staged(calibrated(raked(cells, targets, rounds), keep).select("source", "lang", "topic", "weight", "probability"))
-    out = rows.join(rated, ["source", "lang", "topic"], "left")
+    quotas, said = raked(cells, targets, keep, rounds)
+    every = quotas.agg(F.sum("quota")).first()[0] or 1.0
+    rated = quotas.select("source", "lang", "topic", (F.col("quota") / F.lit(every)).alias("weight"), (F.col("quota") / F.col("tokens")).alias("probability"))
+    for by, sums in said.items():
+        rated = rated.join(sums.select(by, F.col("residual").alias(f"_{by}")), by)
+    out = rows.join(staged(rated.withColumn("residual", F.greatest(*(f"_{by}" for by in said))).drop(*(f"_{by}" for by in said))), ["source", "lang", "topic"], "left")
     chance = F.coalesce("probability", F.lit(1.0))
-    return out.select("doc_id", "raw", "source", "lang", "topic", "n_tokens", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("weight"), F.round(chance, 9).alias("probability"), (F.col("drawn") < chance).alias("kept"))
+    return out.select("doc_id", "raw", "source", "lang", "topic", "n_tokens", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("weight"), F.round(chance, 9).alias("probability"), F.round(F.coalesce("residual", F.lit(0.0)), 9).alias("residual"), (F.col("drawn") < chance).alias("kept"))
 
 
 def oracle() -> str:
@@ -103,23 +122,24 @@ def oracle() -> str:
           select doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) as n_tokens, len(regexp_extract_all(coalesce(text, ''), '[0-9]')) as digits, len(regexp_extract_all(coalesce(text, ''), '[#$%&*]')) as marks,
           cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), text, '')), 1, 13) as bigint) / {DRAWN}.0 as drawn from documents))""",
         "cells as (select source, lang, topic, cast(sum(n_tokens) as bigint) as tokens from sized group by all having sum(n_tokens) > 0)",
-        "shares as (select *, tokens / sum(tokens) over () as weight from cells)",
-        "powers as (select *, " + ", ".join(f"pow(sum(weight) over (partition by {by}), {p}) as t_{by}, weight / sum(weight) over (partition by {by}) as p_{by}" for by, p in TEMPER.items()) + " from shares)",
-        "step0 as (select source, lang, topic, tokens, weight, " + ", ".join(f"t_{by} / sum(t_{by} * p_{by}) over () as t_{by}" for by in TEMPER) + " from powers)",
+        f"shares as (select *, {KEEP} * sum(tokens) over () as sample, " + ", ".join(f"sum(tokens) over (partition by {by}) as t_{by}, pow(sum(tokens) over (partition by {by}) / sum(tokens) over (), {p}) as s_{by}, tokens / sum(tokens) over (partition by {by}) as p_{by}" for by, p in TEMPER.items()) + " from cells)",
+        "fill0 as (select *, " + ", ".join(f"s_{by} / sum(s_{by} * p_{by}) over () as n_{by}, sample as l_{by}" for by in TEMPER) + " from shares)",
+    ]
+    for i in range(FILLS):
+        rate = ", ".join(f"coalesce((sample - sum(case when n_{by} * l_{by} >= t_{by} then t_{by} * p_{by} else 0 end) over ()) / nullif(sum(case when n_{by} * l_{by} >= t_{by} then 0 else n_{by} * p_{by} end) over (), 0.0), l_{by}) as l_{by}" for by in TEMPER)
+        parts.append(f"fill{i + 1} as (select * exclude ({', '.join('l_' + by for by in TEMPER)}), {rate} from fill{i})")
+    parts += [
+        f"step0 as (select source, lang, topic, tokens, sample, tokens * {KEEP} as quota, " + ", ".join(f"n_{by} * sample as w_{by}, least(cast(t_{by} as double), n_{by} * l_{by}) as g_{by}" for by in TEMPER) + f" from fill{FILLS})",
     ]
     n = 0
     for _ in range(ROUNDS):
         for by in TEMPER:
-            parts.append(f"step{n + 1} as (select source, lang, topic, tokens, {', '.join('t_' + b for b in TEMPER)}, coalesce(weight * t_{by} / nullif(sum(weight) over (partition by {by}), 0), 0) as weight from step{n})")
+            parts.append(f"sums{n} as (select *, sum(case when quota >= tokens then quota else 0 end) over (partition by {by}) as s_full, sum(case when quota >= tokens then 0 else quota end) over (partition by {by}) as s_free from step{n})")
+            parts.append(f"""step{n + 1} as (select source, lang, topic, tokens, sample, {', '.join(f'w_{b}, g_{b}' for b in TEMPER)}, least(case when s_free > 0 and g_{by} > s_full
+              then case when quota >= tokens then quota else quota * ((g_{by} - s_full) / s_free) end else quota * coalesce(g_{by} / nullif(s_full + s_free, 0.0), 0.0) end, cast(tokens as double)) as quota from sums{n})""")
             n += 1
-    parts += [
-        f"weighted as (select source, lang, topic, tokens, weight / sum(weight) over () as weight from step{n})",
-        """ordered as (select *, weight / tokens as per, sum(tokens) over () as every, coalesce(sum(tokens) over before, 0) as before_, coalesce(sum(weight) over before, 0) as weight_ from weighted
-          window before as (order by weight / tokens desc, source, lang, topic rows between unbounded preceding and 1 preceding))""",
-        f"rates as (select *, (every * {KEEP} - before_) / nullif(1.0 - weight_, 0) as rate from ordered)",
-        "rated as (select *, (select arg_min(rate, before_) from rates where rate * per <= 1) as r from rates)",
-        "final as (select source, lang, topic, weight, coalesce(least(1.0, greatest(0.0, r * per)), 1.0) as probability from rated)",
-    ]
+    misses = ", ".join(f"abs((sum(quota) over (partition by {by}) - w_{by}) / sample)" for by in TEMPER)
+    parts.append(f"final as (select source, lang, topic, quota / sum(quota) over () as weight, quota / tokens as probability, greatest({misses}) as residual from step{n})")
     return "with " + ",\n".join(parts) + """
-    select doc_id, source, lang, topic, cast(n_tokens as bigint) as n_tokens, round(coalesce(weight, 0), 9) as weight, round(coalesce(probability, 1.0), 9) as probability, drawn < coalesce(probability, 1.0) as kept
+    select doc_id, source, lang, topic, cast(n_tokens as bigint) as n_tokens, round(coalesce(weight, 0), 9) as weight, round(coalesce(probability, 1.0), 9) as probability, round(coalesce(residual, 0.0), 9) as residual, drawn < coalesce(probability, 1.0) as kept
     from sized left join final using (source, lang, topic)"""

@@ -17,7 +17,7 @@ Each piece finds its place by its rank among pieces of its length: ranks are cou
 salted groups, so that a length that many documents have is not one task's work.
 
 Null and empty texts are one piece of length 1 (the end id). Rows with the same or no
-doc_id are packed each for itself. Empty tables give no rows. Columns besides doc_id
+doc_id are packed each for itself; of sequences with equal room the one opened or filled last is taken. Empty tables give no rows. Columns besides doc_id
 and text are not read.
 """
 

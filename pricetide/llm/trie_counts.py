@@ -13,7 +13,7 @@ piece falls back to its UTF-8 bytes, each at UNKNOWN. Of equally good ways the o
 fewer pieces counts.
 
 Null and empty texts have 0 words, 0 tokens and log likelihood 0. A doc_id may be null
-or repeated. Columns besides doc_id and text are not read.
+or repeated. Empty tables give no rows. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations

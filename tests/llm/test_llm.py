@@ -367,14 +367,28 @@ def test_trie_counts(docs):
 
 def test_mixing_reaches_its_targets(spark):
     r = random.Random(4)
-    rows = [(i, prose(r.randint(20, 60), i), r.choice(["en", "de"]), r.choice(["s0", "s0", "s0", "s1", "s2"])) for i in range(600)]
+    rows = [(i, prose(r.randint(20, 60), i), r.choice(["en", "en", "de"]), r.choice(["s0", "s0", "s0", "s1", "s2"])) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("topic", F.expr("if(doc_id % 3 = 0, 'a', 'b')"))
-    targets = {"source": spark.createDataFrame([("s0", 0.4), ("s1", 0.3), ("s2", 0.3)], "value string, share double")}
+    wanted = {"source": {"s0": 0.4, "s1": 0.3, "s2": 0.3}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"a": 0.45, "b": 0.55}}
+    targets = {by: spark.createDataFrame([*shares.items()], "value string, share double") for by, shares in wanted.items()}
     out = mixing.mix(docs, targets, keep=0.4).toPandas()
-    cells = out.drop_duplicates(["source", "lang", "topic"])
-    assert cells.groupby("source").weight.sum().round(3).to_dict() == {"s0": 0.4, "s1": 0.3, "s2": 0.3}
-    assert (out.probability * out.n_tokens).sum() / out.n_tokens.sum() == pytest.approx(0.4, abs=1e-6)
-    assert 0.3 < out.kept.mean() < 0.5
+    assert (out.probability * out.n_tokens).sum() / out.n_tokens.sum() == pytest.approx(0.4, abs=1e-6) and out.residual.max() < 0.001
+    sample = out[out.kept]
+    for by, shares in wanted.items():
+        expected = (out.probability * out.n_tokens).groupby(out[by]).sum() / (out.probability * out.n_tokens).sum()
+        drawn = sample.groupby(by).n_tokens.sum() / sample.n_tokens.sum()
+        for value, share in shares.items():
+            assert expected[value] == pytest.approx(share, abs=0.001) and drawn[value] == pytest.approx(share, abs=0.03)
+
+
+def test_mixing_gives_all_of_what_is_short(spark):
+    rows = [(i, prose(20, i), "en", "rare" if i < 50 else "s0" if i % 2 else "s1") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("topic", F.lit("a"))
+    targets = {"source": spark.createDataFrame([("rare", 0.3), ("s0", 0.35), ("s1", 0.35)], "value string, share double")}
+    out = mixing.mix(docs, targets, keep=0.6).toPandas()
+    assert (out[out.source == "rare"].probability == 1).all() and out[out.source == "rare"].residual.min() > 0.2
+    shares = (out.probability * out.n_tokens).groupby(out.source).sum() / out.n_tokens.sum()
+    assert shares["s0"] == pytest.approx(shares["s1"], abs=1e-6) and shares.sum() == pytest.approx(0.6, abs=1e-6)
 
 
 def test_mixing_keeps_columns(docs):
