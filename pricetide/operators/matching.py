@@ -218,7 +218,15 @@ def _scratch(spark) -> str:
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isEmpty() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if known.isEmpty():  # all runs in one process
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pricetide-"))
+            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = known.get()
     return f"{root}/groups-{uuid.uuid4().hex}"
 
 

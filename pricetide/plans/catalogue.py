@@ -638,9 +638,13 @@ def src9_completed(m):
     return P.completed(found, markup)
 
 
-@query("select count(*) as n from pages where 1 = 0")
+@query("""select page_id, 'https://shop.example/' || page_id as url, 'Thing ' || page_id as title, page_id % 1000 * 100 + 99 as price_bani, page_id % 3 <> 0 as in_stock from pages where page_id % 2 = 0""")
 def src3_structured_data_of_pages(m):
-    return P.observations(m.table("pages")).agg(F.count("*").alias("n"))
+    """Every second of the table's pages gets a block of structured data before its end, the others have none."""
+    n = F.col("page_id")
+    block = F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":"Thing '), n, F.lit('","offers":{"@type":"Offer","price":"'), n % 1000, F.lit('.99","priceCurrency":"RON","availability":"https://schema.org/'), F.when(n % 3 == 0, "OutOfStock").otherwise("InStock"), F.lit('"}}</script>'))
+    pages = m.table("pages").select("page_id", F.concat(F.lit("https://shop.example/"), n).alias("url"), F.when(n % 2 == 0, F.concat("html", block)).otherwise(F.col("html")).alias("html"))
+    return P.observations(pages).select("page_id", "url", "title", "price_bani", "in_stock")
 
 
 # --- matching ---------------------------------------------------------------------------
@@ -739,11 +743,11 @@ def m11_sequential(m):
     return E.sequential(E.offer_keys(offers).join(own, "offer_id"), E.product_keys(products)).groupBy("method").agg(F.count("*").alias("n"), F.count("product_id").alias("linked"), F.count("created_by").alias("made"))
 
 
-VERDICTS = "select offer_id, product_id, case when (offer_id + product_id) % 3 = 0 then 'approved' else 'rejected' end as verdict, offer_id % 7 as at from queue where (offer_id + product_id) % 5 <> 0"
+VERDICTS = "select offer_id, product_id, case when (offer_id + product_id) % 3 = 0 then 'approved' else 'rejected' end as verdict, offer_id % 7 as decided from queue where (offer_id + product_id) % 5 <> 0"
 QUEUE = "select l_suppkey as offer_id, l_partkey as product_id, 'pending' as status from lineitem group by 1, 2"
 
 
-@query(f"""with queue as ({QUEUE}), verdicts as ({VERDICTS}), joined as (select queue.*, verdict, at, first_value(case when verdict = 'approved' then product_id end ignore nulls) over (partition by offer_id order by case when verdict = 'approved' then product_id end nulls last rows between unbounded preceding and unbounded following) as chosen from queue left join verdicts using (offer_id, product_id))
+@query(f"""with queue as ({QUEUE}), verdicts as ({VERDICTS}), joined as (select queue.*, verdict, decided, first_value(case when verdict = 'approved' then product_id end ignore nulls) over (partition by offer_id order by case when verdict = 'approved' then product_id end nulls last rows between unbounded preceding and unbounded following) as chosen from queue left join verdicts using (offer_id, product_id))
   select offer_id, product_id, case when chosen = product_id then 'approved' when chosen is not null or verdict = 'rejected' then 'rejected' else 'pending' end as status from joined""")
 def m12_review_decisions(m):
     queue = m.table("lineitem").select(F.col("l_suppkey").alias("offer_id"), F.col("l_partkey").alias("product_id")).distinct().withColumn("status", F.lit("pending"))

@@ -40,9 +40,9 @@ def wanted_brand(slug: Column, wanted: list[str]) -> Column:
 
 
 def retry_after(value: Column, as_of: Column) -> Column:
-    """Seconds to wait: a number, or how long until an HTTP date; never negative."""
+    """Seconds to wait: a number, or how long until an HTTP date; never negative, null if it is neither."""
     when = F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^[A-Za-z]+,\s*| GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.when(F.trim(value).rlike("^[0-9]+$"), F.trim(value).try_cast("double")).otherwise(F.greatest(F.lit(0.0), (F.unix_micros(when) - F.unix_micros(as_of)) / 1e6))
+    return F.when(F.trim(value).rlike("^[0-9]+$"), F.trim(value).try_cast("double")).when(when.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(when) - F.unix_micros(as_of)) / 1e6))
 
 
 def is_challenge(status: Column, mitigated: Column, body: Column) -> Column:

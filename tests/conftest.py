@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from pricetide.session import session
 
-    s = session("local[4]", 4, **{"spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": "/tmp/pricetide-warehouse"})
+    s = session("local[4]", 4, **{"spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": "/tmp/pricetide-warehouse", "spark.checkpoint.dir": "/tmp/pricetide-checkpoints"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
