@@ -199,35 +199,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], schema=PAIRS)
 
 
-def _held(asked: DataFrame, texts: DataFrame, path: str) -> DataFrame:
-    """The pairs asked for (row, leader), verified."""
-    others = texts.select(F.col("row").alias("leader"), F.col("words").alias("others"))
-    both = asked.join(texts.select("row", "words"), "row").join(others, "leader")
-    return staged(both.select("row", "leader", "words", "others").mapInArrow(_verified, from_arrow_schema(PAIRS)), path)
+def _held(asked: DataFrame, words: DataFrame, path: str) -> DataFrame:
+    """The pairs asked for (row, leader), verified; words: row, words. Both joins read one exchange of the words."""
+    own, other = words.alias("own").hint("merge"), words.alias("other").hint("merge")
+    pairs = asked.select(F.col("row").alias("a"), F.col("leader").alias("b"))
+    both = pairs.join(own, F.col("a") == F.col("own.row")).join(other, F.col("b") == F.col("other.row"))
+    return staged(both.select("a", "b", "own.words", F.col("other.words").alias("others")).mapInArrow(_verified, from_arrow_schema(PAIRS)), path)
 
 
 def _near(n: str, m: str) -> Column:
     return F.expr(f"least({n}, {m}) >= {SIMILAR - 1e-9} * greatest({n}, {m})")
 
 
-def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Similar pairs (row, leader, similarity) among texts (row, n, keys, words), and classes (row, root) of rows with one."""
+def links(texts: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs (row, leader, similarity) among texts (row, n, keys; row, words), and classes (row, root) of rows with one.
+
+    What is joined here grows with the corpus, so no side is broadcast (`merge`): the plan is the same at every size.
+    """
     spark, path = texts.sparkSession, shared_dir(texts.sparkSession)
     each = _members(texts.withColumn("root", F.col("row")), FIRST)
     first = _led(each, _mixed(each, F.xxhash64("row")))
-    tried = _held(first.where("root <> led").select("row", "leader").distinct(), texts, f"{path}/first")
+    tried = _held(first.where("root <> led").select("row", "leader").distinct(), words, f"{path}/first")
     classes = components(tried.where("similarity > 0"))
-    rooted = staged(texts.select("row", "n", "keys").join(classes, "row", "left").withColumn("root", F.coalesce("root", "row")))
+    rooted = staged(texts.join(classes.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row")))
     each = _members(rooted)
     asked = staged(_led(each, _mixed(each, F.xxhash64("row", "key"))))
     pairs = asked
     for depth in range(1, SPLITS + 1):
         further = F.xxhash64("key", F.expr(f"keys[kind][(sketch + {depth}) % size(keys[kind])]"))
-        asked = staged(asked.drop("leader", "m", "led").join(rooted.select("row", "keys"), "row").withColumn("key", further).drop("keys"))
+        asked = staged(asked.drop("leader", "m", "led").join(rooted.select("row", "keys").hint("merge"), "row").withColumn("key", further).drop("keys"))
         asked = staged(_led(asked, _mixed(asked, F.xxhash64("row", "key"))))
         pairs = pairs.unionByName(asked)
     pairs = pairs.where((F.col("root") != F.col("led")) & _near("n", "m")).select("row", "leader").distinct()
-    new = _held(pairs.join(tried.select("row", "leader"), ["row", "leader"], "left_anti"), texts, f"{path}/second")
+    new = _held(pairs.join(tried.select("row", "leader"), ["row", "leader"], "left_anti"), words, f"{path}/second")
     similar = spark.read.schema(new.schema).parquet(f"{path}/first", f"{path}/second").where("similarity > 0")
     edges = classes.withColumnRenamed("root", "leader").unionByName(new.where("similarity > 0").select("row", "leader"))
     return similar, components(edges)
@@ -248,7 +252,7 @@ def _mixed(members: DataFrame, order: Column) -> DataFrame:
 
 def _led(members: DataFrame, mixed: DataFrame) -> DataFrame:
     """Members of mixed buckets, with the leader: a bucket of many texts is one that Spark can split here."""
-    return members.join(mixed, "key")
+    return members.join(mixed.hint("merge"), "key")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,9 +297,10 @@ def _classified(docs: DataFrame) -> DataFrame:
     firsts = staged(sketched.groupBy("same").agg(F.min("row").alias("text"), F.count("*").alias("copies")))
     several = firsts.where("copies > 1").select("same", "text")
     member = staged(sketched.select("row", "doc_id", "raw", "same").join(several, "same", "left").select("row", "doc_id", "raw", F.coalesce("text", "row").alias("text")))
-    texts = staged(sketched.select("row", "n", "keys", "words").join(firsts.select(F.col("text").alias("row")), "row", "left_semi"))
-    removed(docs.sparkSession, path)
-    found, root = links(texts)
+    texts = staged(sketched.select("row", "n", "keys").join(firsts.select(F.col("text").alias("row")).hint("merge"), "row", "left_semi"), f"{path}-keys")
+    found, root = links(texts, sketched.select("row", "words"))
+    for done in (path, f"{path}-keys"):
+        removed(docs.sparkSession, done)
     degree = found.select("row").unionByName(found.select(F.col("leader").alias("row"))).groupBy(F.col("row").alias("text")).agg(F.count("*").alias("n_links"))
     linked = staged(root.withColumnRenamed("row", "text").join(degree, "text"))
     classed = staged(member.join(linked, "text", "left").select("row", "doc_id", "raw", F.coalesce("root", "text").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
