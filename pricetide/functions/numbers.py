@@ -25,30 +25,53 @@ def written_number(raw: Column) -> Column:
 
 
 def _separated(s: Column) -> Column:
-    dot, comma = F.instr(F.reverse(s), "."), F.instr(F.reverse(s), ",")  # 0: none, else places from the end
+    """What stands behind the last separator is a fraction unless the separators are all of one kind and group thousands."""
+    marks = F.translate(s, "0123456789", "")  # the separators alone, in order
+    last = F.substring_index(F.translate(s, ",", "."), ".", -1)  # the figures behind the last one
+    kinds = F.length(F.translate(marks, ",", "")) * F.length(F.translate(marks, ".", ""))  # 0 if they are all of one kind
+    whole = (kinds == 0) & ((F.length(marks) > 1) | (F.length(last) == 3))
+    figures = F.translate(s, ".,", "")
+    parted = F.concat(F.left(figures, F.length(figures) - F.length(last)), F.lit("."), last)
+    return F.when((F.length(marks) == 0) | whole, figures).otherwise(parted).try_cast("decimal(18,6)")
 
-    def lone(sep: str) -> Column:
-        parts = F.split(s, f"[{sep}]")
-        grouped = (F.size(parts) > 2) | (F.length(F.element_at(parts, -1)) == 3)
-        return F.when(grouped, F.replace(s, F.lit(sep), F.lit(""))).otherwise(F.replace(s, F.lit(sep), F.lit(".")))
 
-    both = F.when(dot < comma, F.replace(s, F.lit(","), F.lit(""))).otherwise(F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-    plain = F.when((dot > 0) & (comma > 0), both).when(dot > 0, lone(".")).when(comma > 0, lone(",")).otherwise(s)
-    return plain.try_cast("decimal(18,6)")
+_CURRENCY = "(?:" + "|".join(rules.CURRENCIES) + ")"
+#: Figures with single marks between them, as one run: what of it is the price depends on where the currency stands.
+_RUN = "[0-9]+(?:[., ][0-9]+)*"
+_MARKED = rf"(?i){_CURRENCY}[.]? *{_RUN}|{_RUN} *{_CURRENCY}(?![a-z0-9_])"
+
+
+def _plain_text(text: Column) -> Column:
+    """With plain spaces and without percentages."""
+    spaced = F.translate(text, rules.GROUP_SPACES, " " * len(rules.GROUP_SPACES))
+    return F.when(F.contains(spaced, F.lit("%")), F.regexp_replace(spaced, "-? *[0-9]+(?:[.,][0-9]+)? *%", " ")).otherwise(spaced)
+
+
+def _run_value(run: Column, leading: Column) -> Column:
+    """Bani of a run: all of it if its spaces group thousands, else the number at the end that the currency is at."""
+    grouped = run.rlike("^[0-9]{1,3}(?: [0-9]{3})+(?:[.,][0-9]+)?$")
+    pieces = F.split(run, " ")
+    number = F.when(~F.contains(run, F.lit(" ")), run).when(grouped, F.replace(run, F.lit(" "), F.lit(""))).when(leading, pieces[0]).otherwise(F.element_at(pieces, -1))
+    return to_bani(written_number(number))
+
+
+def _marked(text: Column) -> Column:
+    value = lambda x: let(F.regexp_extract(x, _RUN, 0), lambda run: _run_value(run, x.rlike("^[A-Za-z]")))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_MARKED), F.lit(0)), value)
+    # most texts name no currency and need no search for figures
+    return F.when(text.rlike(f"(?i){_CURRENCY}"), F.filter(found, lambda x: x.isNotNull())).when(text.isNotNull(), F.array().cast("array<bigint>"))
 
 
 def extract_prices(text: Column) -> Column:
     """Bani of all amounts with a currency beside them, in order."""
-    cleaned = F.regexp_replace(text, f"(?U){rules.PERCENT}", " ")
-    before, after = (F.regexp_extract_all(cleaned, F.lit(f"(?iU){rules.MARKED_PRICE}"), F.lit(k)) for k in (1, 2))
-    raw = F.zip_with(before, after, lambda a, b: F.when(F.length(a) > 0, a).otherwise(b))
-    return F.transform(raw, lambda x: to_bani(written_number(x)))
+    return _marked(_plain_text(text))
 
 
 def parse_price(text: Column) -> Column:
     """The first amount with a currency, else the first number."""
-    number = F.regexp_extract(F.regexp_replace(text, f"(?U){rules.PERCENT}", " "), f"({rules.NUMBER})", 1)
-    return F.coalesce(F.get(extract_prices(text), 0), to_bani(written_number(F.nullif(number, F.lit("")))))
+    plain = _plain_text(text)
+    first = F.nullif(F.regexp_extract(plain, _RUN, 0), F.lit(""))
+    return F.coalesce(F.get(_marked(plain), 0), let(first, lambda run: _run_value(run, F.lit(True))))
 
 
 def parse_price_pair(text: Column) -> Column:
@@ -63,7 +86,7 @@ def parse_price_pair(text: Column) -> Column:
 
 def parse_machine_price(value: Column) -> Column:
     """Amounts of structured data, where a lone separator is a decimal one; negative or no number is null."""
-    return let(F.regexp_replace(F.translate(F.trim(value), rules.GROUP_SPACES, ""), rf"(?i){rules.CURRENCY}\.?", ""), _machine_written)
+    return let(F.regexp_replace(F.translate(F.trim(value), rules.GROUP_SPACES, ""), f"(?i){_CURRENCY}[.]?", ""), _machine_written)
 
 
 def _machine_written(s: Column) -> Column:

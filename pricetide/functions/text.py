@@ -106,10 +106,35 @@ def brand_token(c: Column) -> Column:
     return F.regexp_replace(fold(c), "[^a-z0-9]", "")
 
 
+def _spelled(phrase: str) -> str:
+    """A pattern for a phrase however its letters are accented; words may be hyphenated or run together."""
+    letters = (f"[{rules.ACCENTS[c]}]" if c in rules.ACCENTS else c for c in phrase)
+    return "".join(letters).replace(" ", r"(?:-|\s*)")
+
+
+def _any_of(phrases: list[str]) -> str:
+    return "(?:" + "|".join(_spelled(p) for p in sorted(phrases, key=len, reverse=True)) + ")"
+
+
+@lru_cache(1)
+def _noise() -> list[str]:
+    """What is taken out of titles, one after another: gifts to the end, brackets that only advertise, discounts, slogans, empty brackets."""
+    percentage = r"[0-9]+(?:[.,][0-9]+)?\s*%"
+    slogan = _any_of(rules.PROMO_PHRASES) + "!*"
+    inside = r"[^)\]]*"
+    alone = r"(?<![\w-]){}(?![\w-])"
+    gift = rf"(?:[+]|\s-|\bcu\b)\s*(?:un\s+)?{_any_of(rules.GIFTS)}\b{inside}"
+    advert = "|".join((rf"{inside}\b{_any_of(rules.BRACKETED_GIFTS)}\b{inside}", slogan, _any_of(rules.SHOUTED) + "!*", rf"-\s*{percentage}"))
+    lead = rf"\b{_any_of(rules.DISCOUNTS)}\b\s*:?\s*-?"
+    return [gift, rf"[(\[]\s*(?:{advert})\s*[)\]]", rf"(?:{lead}|(?<![\w%])-)\s*{percentage}", alone.format(slogan), rf"(?<![\w-]){_any_of(rules.SHOUTED)}!+", r"[(\[]\s*[)\]]"]
+
+
 def clean_title(c: Column) -> Column:
     """A title without discounts, offers and gifts; applying it again changes nothing."""
-    text = reduce(lambda x, p: F.regexp_replace(x, f"(?iuU){p}", " "), rules.TITLE_NOISE, c)
-    return F.trim(F.regexp_replace(collapsed(text), f"(?U){rules.TITLE_EDGES}", ""))
+    text = collapsed(reduce(lambda x, p: F.regexp_replace(x, f"(?iuU){p}", " "), _noise(), c))
+    # what is left over at either end: separators, and a plus sign that nothing follows
+    bare = F.btrim(text, F.lit(" -|,:;/"))
+    return F.regexp_replace(bare, r"(?:[ |,:;/-]+[+]*)*[ |,:;/-][+]+$", "")
 
 
 def strip_sizes(c: Column) -> Column:
