@@ -41,10 +41,11 @@ _RUN = "[0-9]+(?:[., ][0-9]+)*"
 _MARKED = rf"(?i){_CURRENCY}[.]? *{_RUN}|{_RUN} *{_CURRENCY}(?![a-z0-9_])"
 
 
-def _plain_text(text: Column) -> Column:
-    """With plain spaces and without percentages."""
+def _plain_text(text: Column, use) -> Column:
+    """use(text with plain spaces and without percentages), the text computed once however it was made."""
     spaced = F.translate(text, rules.GROUP_SPACES, " " * len(rules.GROUP_SPACES))
-    return F.when(F.contains(spaced, F.lit("%")), F.regexp_replace(spaced, "-? *[0-9]+(?:[.,][0-9]+)? *%", " ")).otherwise(spaced)
+    without = lambda x: F.when(F.contains(x, F.lit("%")), F.regexp_replace(x, "-? *[0-9]+(?:[.,][0-9]+)? *%", " ")).otherwise(x)
+    return let(spaced, lambda x: let(without(x), use))
 
 
 def _run_value(run: Column, leading: Column) -> Column:
@@ -64,14 +65,17 @@ def _marked(text: Column) -> Column:
 
 def extract_prices(text: Column) -> Column:
     """Bani of all amounts with a currency beside them, in order."""
-    return _marked(_plain_text(text))
+    return _plain_text(text, _marked)
 
 
 def parse_price(text: Column) -> Column:
     """The first amount with a currency, else the first number."""
-    plain = _plain_text(text)
-    first = F.nullif(F.regexp_extract(plain, _RUN, 0), F.lit(""))
-    return F.coalesce(F.get(_marked(plain), 0), let(first, lambda run: _run_value(run, F.lit(True))))
+
+    def either(plain: Column) -> Column:
+        first = F.nullif(F.regexp_extract(plain, _RUN, 0), F.lit(""))
+        return F.coalesce(F.get(_marked(plain), 0), let(first, lambda run: _run_value(run, F.lit(True))))
+
+    return _plain_text(text, either)
 
 
 def parse_price_pair(text: Column) -> Column:
