@@ -30,7 +30,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-LIMIT, LETTERS, LONG = 500_000, 6_000_000, 200
+LIMIT, LETTERS, LONG = 800_000, 10_000_000, 200
 
 
 class Encoder:

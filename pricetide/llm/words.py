@@ -94,9 +94,24 @@ def slice_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mixed((halves[0] << np.uint64(32) | halves[1]) + (ends - starts).astype(np.uint64) * _STEP)
 
 
+@lru_cache(2)
+def _wrapping_powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+def quick_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Like `slice_hashes`, faster, and with known collisions (Thue-Morse words): only where slices are compared as well."""
+    n = len(points) + 1
+    bases = (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    up, down = (_wrapping_powers(b, _KEPT) if n <= _KEPT else _wrapping_powers.__wrapped__(b, n) for b in bases)
+    total = np.zeros(n, np.uint64)
+    np.cumsum((points.astype(np.uint64) + _STEP) * _MIX * up[: n - 1], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
 def distinct(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which slices are the first of their kind, and for each slice its kind. Slices are compared, not only their hashes."""
-    _, first, kind = np.unique(slice_hashes(points, starts, ends), return_index=True, return_inverse=True)
+    _, first, kind = np.unique(quick_hashes(points, starts, ends), return_index=True, return_inverse=True)
     if not len(first):
         return first, kind
     n = ends - starts
