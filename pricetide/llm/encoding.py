@@ -30,6 +30,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _latin(text: str) -> bool:
+    """Are all characters below U+0100?"""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 LIMIT, LETTERS, LONG = 800_000, 10_000_000, 200
 
 
@@ -64,15 +73,14 @@ class Encoder:
         """The ids of each of some distinct pieces, as 32-bit numbers."""
         if len(self.known) + len(pieces) > self.limit or self.letters > LETTERS:
             self._forget()
-        known, merge, mark, out = self.known, self.merge, self.mark, []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = array("I", merge(p.encode("utf-8") + mark)).tobytes()
-                if len(p) <= LONG:
-                    known[p] = ids
-                    self.letters += len(p)
-            out.append(ids)
+        known, merge, mark = self.known, self.merge, self.mark
+        out = [*map(known.get, pieces)]
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            p = pieces[k]
+            out[k] = ids = array("I", merge(p.encode("utf-8") + mark)).tobytes()
+            if len(p) <= LONG:
+                known[p] = ids
+                self.letters += len(p)
         return out
 
     def _cuts(self, r: W.Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +114,7 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if "'" in t or any(s in t for s in self.special)]
         odd = set(whole)
         if not self.spaces_kept:
-            odd |= {i for i, t in enumerate(texts) if not t.isascii() and (max(t) > "\xff")}
+            odd |= {i for i, t in enumerate(texts) if not _latin(t)}
         plain = ["" if i in odd else t if self.spaces_kept else t.lower() for i, t in enumerate(texts)]
         r = W.runs(plain)
         first, end, doc = self._cuts(r)
