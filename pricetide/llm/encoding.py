@@ -1,27 +1,34 @@
-"""Exact token ids for whole texts, with a bounded memory of words already encoded.
+"""Exact token ids for whole texts, without a memory of what was encoded before.
 
 `Encoder.many(texts)` gives the ids that the ``tokenizers`` library gives for each
-text with ``add_special_tokens=False``. Both vocabularies cut a text before they
-merge, and no merge crosses a cut, so the cutting is done here for many texts at a
-time and each distinct piece is merged once, by tiktoken's routine loaded with the
-ranks of the same file (the library's own takes thrice as long for a piece; the
-tests hold the ids against it). Texts with an apostrophe, a special token's name or
-letters that the normaliser may change go through the library as a whole, because
-there the cut depends on more than the kind of character. The memory goes by the
-pieces themselves and is cleared when it holds `limit` of them or `LETTERS` letters;
-longer pieces than `LONG` are not remembered beyond the texts at hand.
+text with ``add_special_tokens=False``. Both vocabularies cut a text into pieces before
+they merge, and no merge crosses a cut. tiktoken's routine, loaded with the ranks of the
+same file, merges faster than the library and has no end-of-word mark, so for the
+vocabulary of words a character that ends a piece is put after each one here, for many
+texts at a time; the byte vocabulary's pieces are its own pattern. What the two may not
+cut alike goes through the library as a whole: texts with a special token's name or the
+mark itself, runs of white space longer than `RUN` and, for words, texts with an apostrophe
+or letters that the normaliser may change.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 from . import words as W
 
+#: The character that ends a piece of the vocabulary of words, as text and as a number.
+MARK, MARK_POINT = "\x01", 1
+#: The name of a special token that no text has; with none at all the routine would look for one at each character.
+NEVER = "\x01\x01never\x01\x01"
+#: How the byte vocabulary cuts a text.
+BYTE_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+RUN = 10_000
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
@@ -39,97 +46,58 @@ def _latin(text: str) -> bool:
     return True
 
 
-LIMIT, LETTERS, LONG = 800_000, 10_000_000, 200
+_LONG_RUN = regex.compile(rf"\s{{{RUN}}}")
 
 
 class Encoder:
     """One vocabulary file, loaded once in a process."""
 
-    def __init__(self, path: str, limit: int = LIMIT):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.spaces_kept = self.library.normalizer is None
-        added = self.library.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()] + [MARK]
         byte = {ord(c): b for b, c in _byte_letters().items()}
-        #: A piece's last byte has a mark of its own in the vocabulary of words; here the mark is a byte that UTF-8 has no use for.
-        self.mark = b"" if self.spaces_kept else b"\xff"
+        end = b"" if self.spaces_kept else MARK.encode()
         ranks = {}
-        for token, i in self.library.get_vocab(with_added_tokens=False).items():
-            bare = token.removesuffix("</w>") if self.mark else token
-            ranks[bytes(byte[ord(c)] for c in bare) + self.mark * (bare != token)] = i
-        self.merge = tiktoken.Encoding("pieces", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.limit = limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.letters = 0
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each of some distinct pieces, as 32-bit numbers."""
-        if len(self.known) + len(pieces) > self.limit or self.letters > LETTERS:
-            self._forget()
-        known, merge, mark = self.known, self.merge, self.mark
-        out = [*map(known.get, pieces)]
-        for k in [k for k, ids in enumerate(out) if ids is None]:
-            p = pieces[k]
-            out[k] = ids = array("I", merge(p.encode("utf-8") + mark)).tobytes()
-            if len(p) <= LONG:
-                known[p] = ids
-                self.letters += len(p)
-        return out
-
-    def _cuts(self, r: W.Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where pieces start and end, and their text, in order."""
-        starts, ends, kinds = r.starts, r.ends, r.kinds
-        if not self.spaces_kept:
-            keep = (kinds == W.LETTER) | (kinds == W.DIGIT) | (kinds == W.OTHER)
-            starts, ends, kinds, doc = starts[keep], ends[keep], kinds[keep], r.doc[keep]
-            n = np.where(kinds == W.DIGIT, ends - starts, 1)  # each digit alone
-            first = W.ragged(starts, n)
-            alone = np.repeat(kinds == W.DIGIT, n)
-            return first, np.where(alone, first + 1, np.repeat(ends, n)), np.repeat(doc, n)
-        space = kinds == W.SPACE
-        inner = space[:-1] & (kinds[1:] != W.BREAK)  # white space before something: its last character goes apart
-        last = np.zeros(len(starts), bool)
-        last[:-1] = inner
-        joins = last & (r.points[ends - 1] == 32)  # a plain space belongs to what follows
-        begin = starts.copy()
-        begin[1:] -= joins[:-1]
-        first, end, doc = [begin[~space & (kinds != W.BREAK)]], [ends[~space & (kinds != W.BREAK)]], [r.doc[~space & (kinds != W.BREAK)]]
-        for take, a, b in ((space & ~last, starts, ends), (last & (ends - starts > 1), starts, ends - 1), (last & ~joins, ends - 1, ends)):
-            first.append(a[take])
-            end.append(b[take])
-            doc.append(r.doc[take])
-        first, end, doc = map(np.concatenate, (first, end, doc))
-        order = np.argsort(first, kind="stable")
-        return first[order], end[order], doc[order]
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        for token, i in vocab.items():
+            if token not in self.special:
+                bare = token.removesuffix("</w>") if end else token
+                ranks[bytes(byte[ord(c)] for c in bare) + end * (bare != token)] = i
+        pieces = BYTE_PIECES if self.spaces_kept else f"[^{MARK}]*{MARK}"
+        self.merge = tiktoken.Encoding("pieces", pat_str=pieces, mergeable_ranks=ranks, special_tokens={NEVER: max(vocab.values()) + 1000})._core_bpe.encode_to_tiktoken_buffer
+
+    def _marked(self, texts: list[str]) -> list[str]:
+        """The pieces of texts below U+0100, MARK after each, white space left out."""
+        points = np.frombuffer("".join(t.lower() + "\n" for t in texts).encode("latin-1"), np.uint8)
+        kinds = W.latin_classes()[points]
+        keep = kinds != W.SPACE
+        n = keep.astype(np.uint8)  # characters written for each: itself, and a mark if it ends a piece; each digit is one
+        n[:-1] += keep[:-1] & ((kinds[1:] != kinds[:-1]) | (kinds[:-1] == W.DIGIT))
+        ends = np.cumsum(n, dtype=np.int64)
+        out = np.full(int(ends[-1]) if len(ends) else 0, MARK_POINT, np.uint8)
+        out[ends[keep] - n[keep]] = points[keep]
+        every = out.tobytes().decode("latin-1")
+        cuts = [0, *ends[np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1].tolist()]
+        return [every[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _odd(self, text: str) -> bool:
+        if any(s in text for s in self.special):
+            return True
+        if self.spaces_kept:
+            return len(text) > RUN and _LONG_RUN.search(text) is not None
+        return "'" in text or not _latin(text)
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, uint32."""
-        whole = [i for i, t in enumerate(texts) if "'" in t or any(s in t for s in self.special)]
-        odd = set(whole)
-        if not self.spaces_kept:
-            odd |= {i for i, t in enumerate(texts) if not _latin(t)}
-        plain = ["" if i in odd else t if self.spaces_kept else t.lower() for i, t in enumerate(texts)]
-        r = W.runs(plain)
-        first, end, doc = self._cuts(r)
-        where, kind = W.distinct(r.points, first, end)
-        every = "\0".join(plain)
-        ids = self._ids([every[a:b] for a, b in zip(first[where].tolist(), end[where].tolist())])
-        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        n = each[kind]
-        flat = pool[W.ragged((np.cumsum(each) - each)[kind], n)]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, n, len(texts)).astype(np.int64))])
-        out = [flat[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
-        for i in odd:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        return out
+        odd = [*map(self._odd, texts)]
+        plain = [t for t, o in zip(texts, odd) if not o]
+        ids = iter(plain if self.spaces_kept else self._marked(plain))
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if o else np.frombuffer(self.merge(next(ids), set()), np.uint32) for t, o in zip(texts, odd)]
 
 
 @lru_cache(1)

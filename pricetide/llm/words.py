@@ -18,12 +18,21 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 @lru_cache(1)
 def classes() -> np.ndarray:
     """The class of each code point; white space is what Unicode calls so, letters are L*, digits N*."""
-    every = "".join(map(chr, range(sys.maxunicode + 1)))
-    out = np.full(BREAK_POINT + 1, OTHER, np.uint8)
+    return np.append(_classes_below(sys.maxunicode + 1), np.uint8(BREAK))
+
+
+@lru_cache(1)
+def latin_classes() -> np.ndarray:
+    """The classes below U+0100 alone."""
+    return _classes_below(256)
+
+
+def _classes_below(n: int) -> np.ndarray:
+    every = "".join(map(chr, range(n)))
+    out = np.full(n, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, every):
             out[m.start() : m.end()] = kind
-    out[BREAK_POINT] = BREAK
     return out
 
 

@@ -61,8 +61,8 @@ def test_empty_tables(name, empty):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_ids_are_the_library_s(path):
-    e = Encoder(path, limit=50)
-    texts = [t or "" for t in TEXTS] + ["a   \n", "a \nb", "\ta", "x\x1cy\x85z", "İI ΣΑΣ", "é ́", "12 345²", "a\xa0b c", "﻿x"]
+    e = Encoder(path)
+    texts = [t or "" for t in TEXTS] + ["a   \n", "a \nb", "\ta", "x\x1cy\x85z", "İI ΣΑΣ", "é ́", "12 345²", "a\xa0b c", "﻿x", "a\x01b", " " * 30000 + "x" + " " * 20000, "it's he'll", "ab" * 3000, "x" * 40000, "1" * 9000, "#" * 9000]
     assert [x.tolist() for x in e.many(texts)] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
