@@ -66,8 +66,8 @@ def _drawn(n: int) -> np.ndarray:
     return (W.mixed(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Where chunks end, len(ids) last."""
+def cuts(ids: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Where chunks end, in ids of documents one after another; stops: where each document ends, which a chunk does too."""
     n = len(ids)
     ends = np.zeros(0, np.int64)
     if n > WINDOW:
@@ -78,9 +78,11 @@ def cuts(ids: np.ndarray) -> np.ndarray:
             scale = scale * 0x01000193 & 0xFFFFFFFF
         h ^= h >> np.uint32(15)
         ends = np.flatnonzero((h * np.uint32(0x2C1B3C6D) >> np.uint32(12)) & np.uint32(MASK) == 0) + WINDOW
-    ends = np.append(ends[ends < n], n)
+        of = np.searchsorted(stops, ends)
+        ends = ends[ends - np.append(0, stops)[of] >= WINDOW]  # the window is of one document
+    ends = np.union1d(ends, stops)
     starts = np.concatenate([[0], ends[:-1]])
-    if (ends - starts).max() > LONGEST:
+    if len(ends) and (ends - starts).max() > LONGEST:
         ends = np.unique(np.concatenate([ends, *(np.arange(a + LONGEST, b, LONGEST) for a, b in zip(starts, ends) if b - a > LONGEST)]))
     return ends
 
@@ -92,20 +94,24 @@ def _encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         tokens = encoder(path)
+        last = np.array([end], np.uint32)
         kind = "<u2" if tokens.library.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             for doc_ids, texts in blocks(batch):
+                parts = [x for ids in tokens.many(texts) for x in (ids, last)]
+                stops = np.cumsum([len(x) for x in parts])[1::2]
+                every = np.concatenate(parts).astype(kind)
+                ends = cuts(every, stops)
+                data, size = every.tobytes(), every.dtype.itemsize
+                edges = [0, *(ends * size).tolist()]
+                digests = [digest(data[a:b]) for a, b in zip(edges, edges[1:])]
+                lengths = np.diff(ends, prepend=0).astype("<u4").tobytes()
                 out = {f.name: [] for f in JOURNAL}
-                for i, ids in zip(doc_ids, tokens.many(texts)):
-                    ids = np.append(ids, np.uint32(end)).astype(kind)
-                    ends = cuts(ids)
-                    data, size = ids.tobytes(), ids.dtype.itemsize
-                    starts = [0, *ends[:-1].tolist()]
-                    digests = [digest(data[a * size : b * size]) for a, b in zip(starts, ends.tolist())]
-                    lengths = np.diff(ends, prepend=0).astype("<u4").tobytes()
-                    for name, value in zip(out, (row, i, len(ids), data, lengths, digests)):
+                at = chunk = 0
+                for i, stop, upto in zip(doc_ids, stops.tolist(), (np.searchsorted(ends, stops) + 1).tolist()):
+                    for name, value in zip(out, (row, i, stop - at, data[at * size : stop * size], lengths[chunk * 4 : upto * 4], digests[chunk:upto])):
                         out[name].append(value)
-                    row += 1
+                    at, chunk, row = stop, upto, row + 1
                 yield pa.RecordBatch.from_pydict(out, schema=JOURNAL)
 
     return whole_texts(docs).mapInArrow(run, from_arrow_schema(JOURNAL))
