@@ -6,7 +6,9 @@ brand and size, elsewhere on brand. Names are scored once for each distinct pair
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,12 +63,12 @@ def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)])
 
 
-def offer_keys(offers: DataFrame) -> DataFrame:
-    """offers: offer_id, title, brand_name, ean, size_value, size_unit -> what matching compares."""
+def offer_keys(offers: DataFrame, *more: str) -> DataFrame:
+    """offers: offer_id, title, brand_name, ean, size_value, size_unit -> what matching compares, and `more` of their columns."""
     brand = T.canonical_brand(F.col("brand_name"))
     sized = N.offer_size(F.col("title"), F.col("size_value"), F.col("size_unit"))
     keyed = offers.withColumns({"brand_key": T.brand_key(brand), "tokens": T.name_tokens(F.col("title"), F.col("brand_name")), "_size": sized})
-    return keyed.select("offer_id", "brand_key", "tokens", F.array_join("tokens", " ").alias("name_key"), "ean", F.col("_size.value").alias("size"), F.col("_size.unit").alias("unit"), F.col("_size.count").alias("packs"))
+    return keyed.select("offer_id", "brand_key", "tokens", F.array_join("tokens", " ").alias("name_key"), "ean", F.col("_size.value").alias("size"), F.col("_size.unit").alias("unit"), F.col("_size.count").alias("packs"), *more)
 
 
 def product_keys(products: DataFrame) -> DataFrame:
@@ -190,7 +192,8 @@ def sequential(offers: DataFrame, products: DataFrame, limits: Thresholds = Thre
     Groups that can't affect each other (brands, joined where an identifier crosses them) are
     folded apart, each by itself in order. offers: offer_keys with `own_tokens` (of the name a new
     product would get); products: product_keys. created_by: the offer that started the product, whose
-    id is then null. A brand is one group: the largest brand bounds the time.
+    id is then null. A brand is one group, folded in one task: its different names are compared
+    with each other, its offers only looked up by name and size.
     """
     group = _groups(offers, products)
     keyed = offers.join(group, "brand_key", "left").withColumn("grp", F.coalesce("grp", F.concat(F.lit("offer "), F.col("offer_id"))))
@@ -207,13 +210,18 @@ def _groups(offers: DataFrame, products: DataFrame) -> DataFrame:
         low = shared.join(label, "brand_key").groupBy("ean").agg(F.min("grp").alias("low"))
         best = shared.join(low, "ean").groupBy("brand_key").agg(F.min("low").alias("low"))
         new = label.join(best, "brand_key", "left").select("brand_key", F.least("grp", F.coalesce("low", "grp")).alias("grp"))
-        new.write.mode("overwrite").parquet(path := _scratch(label.sparkSession))
-        new = label.sparkSession.read.parquet(path)
+        new = stored(new)
         if new.exceptAll(label).isEmpty():
             return new
         label = new
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to a shared folder and read again, for what is costly to make and read more than once."""
+    df.write.mode("overwrite").parquet(path := _scratch(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _scratch(spark) -> str:
     import tempfile
     import uuid
@@ -230,42 +238,105 @@ def _scratch(spark) -> str:
     return f"{root}/groups-{uuid.uuid4().hex}"
 
 
+class _Shelf:
+    """Products in order, found by identifier and by brand, name and size, so that an offer looks only at names like its own."""
+
+    def __init__(self, review: float):
+        self.rows: list[dict] = []
+        self.review = review
+        self.by_ean: dict[str, int] = {}  # the first place of each identifier
+        self.names: dict[str | None, list[tuple[str, dict]]] = {}  # by brand: names in the order they came, with their bins
+        self.known: dict[tuple, dict] = {}
+        self.scored: dict[tuple, tuple[int, list]] = {}
+
+    def put(self, product: dict) -> None:
+        at = len(self.rows)
+        self.rows.append(product)
+        if product["ean"]:
+            self.by_ean.setdefault(product["ean"], at)
+        if not product["tokens"]:
+            return
+        name = " ".join(product["tokens"])
+        if (bins := self.known.get((product["brand"], name))) is None:
+            bins = self.known[product["brand"], name] = {}
+            self.names.setdefault(product["brand"], []).append((name, bins))
+        for key in _bins(product):
+            every, free = bins.setdefault(key, ([], OrderedDict()))
+            every.append(at)
+            if not product["ean"]:
+                free[at] = None
+
+    def identify(self, at: int, ean: str) -> None:
+        """Gives a product an identifier that no other has."""
+        product = self.rows[at]
+        product["ean"] = ean
+        self.by_ean[ean] = at
+        if product["tokens"]:
+            bins = self.known[product["brand"], " ".join(product["tokens"])]
+            for key in _bins(product):
+                bins[key][1].pop(at, None)
+
+    def like(self, brand: str | None, tokens: list[str]) -> list[tuple[float, bool, dict]]:
+        """(score, whether variant markers differ, bins) of the brand's names from `review` on; each pair of names is scored once."""
+        names, name = self.names.get(brand, []), " ".join(tokens)
+        seen, found = self.scored.get((brand, name), (0, []))
+        mine = set(tokens)
+        for other, bins in names[seen:]:
+            theirs = set(other.split(" "))
+            a, b = _special(mine - theirs), _special(theirs - mine)
+            if any(t.isdigit() for t in a) and any(t.isdigit() for t in b):
+                continue
+            if (score := token_set_ratio(name, other)) >= self.review:
+                found.append((score, bool(a or b), bins))
+        self.scored[brand, name] = len(names), found
+        return found
+
+
+ANY, UNSIZED = "any", "unsized"
+
+
+def _bins(product: dict) -> list:
+    return [ANY, UNSIZED if pd.isna(product["size"]) else (product["unit"], product["size"])]
+
+
+def _special(words: set[str]) -> set[str]:
+    return {t for t in words if any(c.isdigit() for c in t) or t == "plus" or len(t) <= 2}
+
+
 def _fold(offers: pd.DataFrame, products: pd.DataFrame, limits: Thresholds) -> pd.DataFrame:
-    shelf = [{"id": int(p.product_id), "by": None, "brand": p.brand_key, "tokens": list(p.p_tokens), "ean": p.p_ean, "size": p.p_size, "unit": p.p_unit} for p in products.sort_values("product_id").itertuples()]
+    shelf = _Shelf(limits.review)
+    for p in products.sort_values("product_id").itertuples():
+        shelf.put({"id": int(p.product_id), "by": None, "brand": p.brand_key, "tokens": list(p.p_tokens), "ean": p.p_ean, "size": p.p_size, "unit": p.p_unit})
     out = []
     for o in offers.sort_values("offer_id").itertuples():
-        method, product, note = _match(o, shelf, limits)
+        method, at, note = _match(o, shelf, limits)
+        unknown = o.ean if o.ean and o.ean not in shelf.by_ean else None
         if method == "new_product":
-            product = {"id": None, "by": int(o.offer_id), "brand": o.brand_key, "tokens": list(o.own_tokens), "ean": None, "size": o.size, "unit": o.unit}
-            shelf.append(product)
-        if product is not None and not product["ean"] and o.ean and all(p["ean"] != o.ean for p in shelf):
-            product["ean"] = o.ean
+            at = len(shelf.rows)
+            shelf.put({"id": None, "by": int(o.offer_id), "brand": o.brand_key, "tokens": list(o.own_tokens), "ean": unknown, "size": o.size, "unit": o.unit})
+        elif at is not None and unknown and not shelf.rows[at]["ean"]:
+            shelf.identify(at, unknown)
+        product = None if at is None else shelf.rows[at]
         out.append((o.offer_id, method, product and product["id"], product and product["by"], note))
     return pd.DataFrame(out, columns=["offer_id", "method", "product_id", "created_by", "note"]).astype({"product_id": "Int64", "created_by": "Int64"})
 
 
-def _match(o, shelf: list[dict], limits: Thresholds) -> tuple[str, dict | None, str | None]:
-    if o.ean and (same := [p for p in shelf if p["ean"] == o.ean]):
-        return "ean", same[0], None
-    special = lambda words: {t for t in words if any(c.isdigit() for c in t) or t == "plus" or len(t) <= 2}
-    mine, found = set(o.tokens), []
-    for at, p in enumerate(shelf):
-        if p["brand"] != o.brand_key or not len(o.tokens) or not p["tokens"] or (o.ean and p["ean"] and o.ean != p["ean"]):
-            continue
-        sizes = not pd.isna(o.size) and not pd.isna(p["size"])
-        if sizes and not (p["unit"] == o.unit and (p["size"] == o.size or o.packs > 1 and p["size"] == o.size * o.packs)):
-            continue
-        a, b = special(mine - set(p["tokens"])), special(set(p["tokens"]) - mine)
-        if any(t.isdigit() for t in a) and any(t.isdigit() for t in b):
-            continue
-        score = token_set_ratio(" ".join(o.tokens), " ".join(p["tokens"]))
-        if score >= limits.review:
-            found.append((-score, at, bool(a or b) or not sizes or o.packs > 1))
+def _match(o, shelf: _Shelf, limits: Thresholds) -> tuple[str, int | None, str | None]:
+    if o.ean and o.ean in shelf.by_ean:
+        return "ean", shelf.by_ean[o.ean], None
+    unsized, found = pd.isna(o.size), []
+    keys = {ANY} if unsized else {UNSIZED, (o.unit, o.size), (o.unit, o.size * o.packs if o.packs > 1 else o.size)}
+    for score, marked, bins in shelf.like(o.brand_key, list(o.tokens)) if len(o.tokens) else ():
+        for key in keys & bins.keys():
+            every, free = bins[key]
+            # all of a bin score alike: the first two that no identifier rules out are enough for the best and the lead
+            for at in islice(free, 2) if o.ean else every[:2]:
+                found.append((-score, at, marked or unsized or key == UNSIZED or o.packs > 1))
     if found:
         found.sort()
         clear = len(found) == 1 or found[1][0] - found[0][0] >= limits.margin
         if -found[0][0] >= limits.auto and not found[0][2] and clear:
-            return "fuzzy", shelf[found[0][1]], None
+            return "fuzzy", found[0][1], None
         return "review", None, None
     if not limits.create:
         return "unmatched", None, "no candidate"

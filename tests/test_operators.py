@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -159,6 +160,68 @@ def test_in_order_a_new_product_is_there_for_the_next(table):
     assert got == {1: ("new_product", 1), 2: ("fuzzy", 1), 3: ("ean", 1)}
 
 
+def slow_fold(offers, products, limits):
+    """`_fold` by holding each offer against every product."""
+    shelf = [{"id": p.product_id, "by": None, "brand": p.brand_key, "tokens": p.p_tokens, "ean": p.p_ean, "size": p.p_size, "unit": p.p_unit} for p in products.sort_values("product_id").itertuples()]
+    special = lambda words: {t for t in words if any(c.isdigit() for c in t) or t == "plus" or len(t) <= 2}
+    out = []
+    for o in offers.sort_values("offer_id").itertuples():
+        same, found, product = [p for p in shelf if o.ean and p["ean"] == o.ean], [], None
+        for at, p in enumerate(shelf):
+            sizes = o.size is not None and p["size"] is not None
+            if p["brand"] != o.brand_key or not o.tokens or not p["tokens"] or o.ean and p["ean"] or sizes and not (p["unit"] == o.unit and p["size"] in (o.size, o.size * o.packs)):
+                continue
+            a, b = special({*o.tokens} - {*p["tokens"]}), special({*p["tokens"]} - {*o.tokens})
+            score = matching.token_set_ratio(" ".join(o.tokens), " ".join(p["tokens"]))
+            if score >= limits.review and not (any(t.isdigit() for t in a) and any(t.isdigit() for t in b)):
+                found.append((-score, at, bool(a or b) or not sizes or o.packs > 1))
+        found.sort()
+        if same:
+            method, product = "ean", same[0]
+        elif found:
+            sure = -found[0][0] >= limits.auto and not found[0][2] and (len(found) == 1 or found[1][0] - found[0][0] >= limits.margin)
+            method, product = ("fuzzy", shelf[found[0][1]]) if sure else ("review", None)
+        elif not o.brand_key or o.packs > 1:
+            method = "unmatched"
+        else:
+            method, product = "new_product", {"id": None, "by": o.offer_id, "brand": o.brand_key, "tokens": o.own_tokens, "ean": None, "size": o.size, "unit": o.unit}
+            shelf.append(product)
+        if product and not product["ean"] and o.ean and not same:
+            product["ean"] = o.ean
+        out.append((o.offer_id, method, product and product["id"], product and product["by"]))
+    return out
+
+
+def folds(seed, n, words="red blue hot cold ring bolt gear 50 30 plus xl m".split()):
+    r = random.Random(seed)
+    amount = lambda: r.choice([(None, None), (Decimal(2), "ml"), (Decimal("4.000"), "ml"), (Decimal(4), "g")])
+    some = lambda: [r.choice(words) for _ in range(r.randint(r.random() > 0.1, 3))]
+    ean = lambda: r.choice([None, None, *"1234567"])
+    products = [(i, r.choice("ab"), some(), ean(), *amount()) for i in range(n // 2)]
+    offers = [(1000 + i, r.choice(["a", "b", "c", ""]), some(), ean(), *amount(), r.choice([1, 1, 2]), some()) for i in range(n)]
+    return pd.DataFrame(offers, columns="offer_id brand_key tokens ean size unit packs own_tokens".split(), dtype=object), pd.DataFrame(products, columns="product_id brand_key p_tokens p_ean p_size p_unit".split(), dtype=object)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fold_is_that_of_every_pair(seed):
+    limits = matching.Thresholds(auto=60.0, review=40.0) if seed % 2 else matching.Thresholds()
+    got = matching._fold(*folds(seed, 40), limits)
+    plain = lambda x: None if pd.isna(x) else x
+    assert [tuple(map(plain, r)) for r in got.drop(columns="note").itertuples(index=False)] == slow_fold(*folds(seed, 40), limits)
+
+
+def test_fold_scores_a_pair_of_names_once(monkeypatch):
+    """20 names in 2000 offers and 1000 products: at most each with each, in each of two brands."""
+    asked, ratio = [], matching.token_set_ratio
+    monkeypatch.setattr(matching, "token_set_ratio", lambda a, b: asked.append(1) or ratio(a, b))
+    offers, products = folds(1, 2000, [f"name{chr(97 + i)}" for i in range(20)])
+    for frame, columns in ((offers, ("tokens", "own_tokens")), (products, ("p_tokens",))):
+        for c in columns:
+            frame[c] = frame[c].str[:1]
+    matching._fold(offers, products, matching.Thresholds())
+    assert len(asked) <= 4 * 20 * 20
+
+
 def test_reviews(table):
     queue = table("offer_id int, product_id int, status string", (1, 1, "pending"), (1, 2, "pending"), (2, 1, "pending"), (3, 1, "rejected"))
     verdicts = table("offer_id int, product_id int, verdict string, at int", (1, 2, "rejected", 1), (1, 2, "approved", 2), (2, 1, "rejected", 1))
