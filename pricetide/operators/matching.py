@@ -1,7 +1,8 @@
 """Entity resolution: listings to products, by identifier, then by name within a brand.
 
-The pair comparison is a blocked join: where both sizes are known it is an equi-join on
-brand and size, elsewhere on brand. Names are scored once for each distinct pair of keys.
+The pair comparison is a blocked join of different names: where both sizes are known it is an
+equi-join on brand and size, elsewhere on brand. Names are scored once for each distinct pair of
+keys; offers and products are joined only where their names are similar.
 """
 
 from __future__ import annotations
@@ -82,30 +83,86 @@ def _only(a: str, b: str) -> Column:
     return F.filter(F.array_distinct(F.array_except(a, b)), T.distinctive)
 
 
+def _bin(size: Column, unit: Column) -> Column:
+    return F.concat(size.cast("decimal(18,6)").cast("string"), F.lit(" "), unit)
+
+
+def _sides(offers: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the bins of sizes they can meet in: an offer's sizes (one item's, a pack's total) and "", products' size or "" if unknown."""
+    size, unit = F.col("size"), F.col("unit")
+    total = F.when(F.col("packs") > 1, _bin(size.cast("decimal(18,6)") * F.col("packs"), unit))
+    bins = F.when(size.isNotNull(), F.array_distinct(F.array_compact(F.array(F.lit(""), _bin(size, unit), total))))
+    return offers.where("brand_key is not null and size(tokens) > 0").withColumn("bins", bins), products.where("size(p_tokens) > 0").withColumn("bin", F.when(F.col("p_size").isNull(), "").otherwise(_bin(F.col("p_size"), F.col("p_unit"))))
+
+
+def _similar(own: DataFrame, theirs: DataFrame, review: float) -> DataFrame:
+    """(brand_key, name_key, p_name_key, exact_score, markers): pairs of names that meet in a bin, score `review` or more and don't contradict each other."""
+    names = own.select("brand_key", "name_key", F.explode("bins").alias("bin")).distinct().join(theirs.select("brand_key", "p_name_key", "bin").distinct(), ["brand_key", "bin"]).drop("bin")
+    open_ = own.where("bins is null").select("brand_key", "name_key").distinct().join(theirs.select("brand_key", "p_name_key").distinct(), "brand_key")
+    met = stored(names.unionByName(open_).distinct())
+    words = met.select("name_key", "p_name_key").distinct().withColumns({"_a": F.split("name_key", " "), "_b": F.split("p_name_key", " ")}).withColumns({"_a": _only("_a", "_b"), "_b": _only("_b", "_a")})
+    numeric = lambda c: F.exists(c, lambda x: x.rlike("^[0-9]+$"))
+    scores = words.where(~(numeric(F.col("_a")) & numeric(F.col("_b")))).withColumn("exact_score", name_score("name_key", "p_name_key")).where(F.col("exact_score") >= review)
+    markers = F.array_sort(F.array_union("_a", "_b"))
+    said = F.when(F.size(markers) > 0, F.concat(F.lit("variant markers differ: "), F.array_join(markers, ", ")))
+    return stored(met.join(scores.select("name_key", "p_name_key", "exact_score", said.alias("markers")), ["name_key", "p_name_key"]))
+
+
+def _pairs(own: DataFrame, theirs: DataFrame, similar: DataFrame) -> DataFrame:
+    """Rows of both sides whose names are similar and that can meet; nothing else is paired."""
+    named = own.join(similar, ["brand_key", "name_key"])
+    sized = named.where("bins is not null").withColumn("bin", F.explode("bins")).join(theirs, ["brand_key", "p_name_key", "bin"])
+    return sized.unionByName(named.where("bins is null").join(theirs, ["brand_key", "p_name_key"]), allowMissingColumns=True)
+
+
+def _said(*key: str) -> list[str | Column]:
+    unknown = F.when(F.col("size").isNull() | F.col("p_size").isNull(), "size unknown")
+    doubts = F.array_compact(F.array("markers", unknown, F.when(F.col("packs") > 1, F.concat(F.lit("multipack of "), F.col("packs")))))
+    return [*key, "product_id", F.round("exact_score", 2).alias("score"), doubts.alias("doubts"), "packs", "exact_score"]
+
+
 def candidates(offers: DataFrame, products: DataFrame, rejected: DataFrame | None = None, review: float = rules.REVIEW) -> DataFrame:
-    """(offer_id, product_id, score, doubts, packs) of same-brand pairs from `review` on that nothing contradicts."""
-    own = offers.where("brand_key is not null and size(tokens) > 0")
-    theirs = products.where("size(p_tokens) > 0")
-    known, p_known = F.col("size").isNotNull(), F.col("p_size").isNotNull()
-    sized = own.where(known)
-    totals = sized.where("packs > 1").withColumn("_on", (F.col("size") * F.col("packs")).cast("decimal(18,6)"))
-    keyed = sized.withColumn("_on", F.col("size").cast("decimal(18,6)")).unionByName(totals)
-    equal = keyed.join(theirs.where(p_known).withColumns({"_on": F.col("p_size").cast("decimal(18,6)"), "unit": F.col("p_unit")}), ["brand_key", "unit", "_on"]).drop("_on")
-    open_ = own.where(~known).join(theirs, "brand_key").unionByName(sized.join(theirs.where(~p_known), "brand_key"))
-    same = ["offer_id", "brand_key", "tokens", "name_key", "ean", "size", "packs", "product_id", "p_tokens", "p_name_key", "p_ean", "p_size"]
-    pairs = equal.select(same).unionByName(open_.select(same)).where("ean is null or p_ean is null or ean = p_ean")
+    """(offer_id, product_id, score, doubts, packs) of same-brand pairs from `review` on that nothing contradicts.
+
+    Names are compared first, then rows of similar names are joined: the work is that of the
+    different names and of the result. Both sides are read several times, so they had better be stored.
+    """
+    own, theirs = _sides(offers, products)
+    pairs = _pairs(own, theirs.drop("ean"), _similar(own, theirs, review)).where("ean is null or p_ean is null or ean = p_ean")
     if rejected is not None:
         pairs = pairs.join(rejected.select("offer_id", "product_id"), ["offer_id", "product_id"], "left_anti")
-    pairs = pairs.withColumns({"_a": _only("tokens", "p_tokens"), "_b": _only("p_tokens", "tokens")})
-    numeric = lambda c: F.exists(c, lambda x: x.rlike("^[0-9]+$"))
-    pairs = pairs.where(~(numeric(F.col("_a")) & numeric(F.col("_b"))))
-    scores = pairs.select("name_key", "p_name_key").distinct().withColumn("score", name_score("name_key", "p_name_key")).where(F.col("score") >= review)
-    markers = F.array_sort(F.array_union("_a", "_b"))
-    doubts = F.array_compact(F.array(
-        F.when(F.size(markers) > 0, F.concat(F.lit("variant markers differ: "), F.array_join(markers, ", "))),
-        F.when(F.col("size").isNull() | F.col("p_size").isNull(), "size unknown"), F.when(F.col("packs") > 1, F.concat(F.lit("multipack of "), F.col("packs"))),
-    ))
-    return pairs.join(scores, ["name_key", "p_name_key"]).select("offer_id", "product_id", F.round("score", 2).alias("score"), doubts.alias("doubts"), "packs", F.col("score").alias("exact_score"))
+    return pairs.select(*_said("offer_id"))
+
+
+def leading(offers: DataFrame, products: DataFrame, rejected: DataFrame | None = None, review: float = rules.REVIEW, most: int = rules.REVIEW_ROWS) -> DataFrame:
+    """The candidates in the first `most` places of each offer, exactly those of `ranked`, without making the others.
+
+    Offers of one name, size and pack, all with or all without identifier, have the same candidates but for equal
+    identifiers; products of one name and size score alike, so only the lowest ids of each can be among the first.
+    Offers with a rejected product go through all their candidates.
+    """
+    if rejected is not None:
+        some = rejected.select("offer_id").distinct()
+        every = candidates(offers.join(some, "offer_id", "left_semi"), products, rejected, review)
+        return _first(every, most, "offer_id").unionByName(leading(offers.join(some, "offer_id", "left_anti"), products, None, review, most))
+    own, theirs = _sides(offers, products)
+    similar = _similar(own, theirs, review)
+    kind = ["brand_key", "name_key", "size", "unit", "packs", "coded"]
+    own = own.withColumn("coded", F.col("ean").isNotNull())
+    own = own.withColumn("kind", F.to_json(F.struct(*kind), {"ignoreNullFields": "false"}))
+    low = Window.partitionBy("brand_key", "p_name_key", "bin", F.col("p_ean").isNull()).orderBy("product_id")
+    short = theirs.withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= most).drop("_n")
+    kinds = own.select("kind", *kind, "bins").distinct()
+    found = stored(_first(_pairs(kinds, short, similar).where("not coded or p_ean is null").select(*_said("kind")), most, "kind"))
+    apart = own.select("offer_id", "kind", "coded").join(found, "kind").drop("kind")
+    pairs = _pairs(own.where("coded").join(theirs.select(F.col("p_ean").alias("ean")).distinct(), "ean", "left_semi"), theirs, similar).where("ean = p_ean")
+    coded = apart.where("coded").drop("coded").unionByName(pairs.select(*_said("offer_id")))
+    return apart.where("not coded").drop("coded").unionByName(_first(coded, most, "offer_id"))
+
+
+def _first(found: DataFrame, most: int, key: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("exact_score"), "product_id"))
+    return found.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -122,7 +179,7 @@ def by_ean(offers: DataFrame, products: DataFrame) -> DataFrame:
 def decisions(offers: DataFrame, linked: DataFrame, found: DataFrame, ean_links: DataFrame, pending: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """(offer_id, method, product_id, note) of each offer, in this order: linked, identifier, waiting, name, review, new product, unmatched.
 
-    offers: keys of all offers; linked and ean_links: offer_id, product_id; pending: offer_id.
+    offers: keys of all offers; found: `candidates` or the `leading` ones; linked and ean_links: offer_id, product_id; pending: offer_id.
     """
     best = ranked(found).where("place = 1").select("offer_id", F.col("product_id").alias("best"), "exact_score", F.size("doubts").alias("n_doubts"), "lead")
     rows = (

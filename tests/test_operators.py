@@ -160,6 +160,47 @@ def test_in_order_a_new_product_is_there_for_the_next(table):
     assert got == {1: ("new_product", 1), 2: ("fuzzy", 1), 3: ("ean", 1)}
 
 
+def many(table, n=120):
+    """Offers and products of two brands with few names, known and unknown sizes, packs, and identifiers."""
+    r = random.Random(n)
+    name = lambda: " ".join(r.sample("red blue hot cold ring bolt gear 50 30 plus m".split(), r.randint(1, 3)))
+    ean = lambda: r.choice([None, None, None, "4006381333931", "4006381333948"])
+    size = lambda: r.choice([None, None, Decimal(50), Decimal(100)])
+    offers = [(i, f"{r.choice(['', '2 x 50 ml '])}{name()}{r.choice(['', ' 50 ml', ' 100 ml'])}", r.choice(["Vichy", "Nuxe"]), ean(), None, None) for i in range(n)]
+    return keys(table, offers, [(1000 + i, name(), r.choice(["Vichy", "Nuxe"]), ean(), s := size(), s and "ml") for i in range(n)])
+
+
+def slow_candidates(offers, products):
+    """Every offer against every product: {(offer, product): (score, sizes known, packs)}."""
+    special = lambda words: {t for t in words if any(c.isdigit() for c in t) or t == "plus" or len(t) <= 2}
+    out = {}
+    for o in offers.collect():
+        for p in products.collect():
+            sizes = o.size is not None and p.p_size is not None
+            if o.brand_key != p.brand_key or not o.tokens or not p.p_tokens or o.ean and p.p_ean and o.ean != p.p_ean or sizes and not (o.unit == p.p_unit and p.p_size in (o.size, o.size * o.packs)):
+                continue
+            a, b = special({*o.tokens} - {*p.p_tokens}), special({*p.p_tokens} - {*o.tokens})
+            score = matching.token_set_ratio(o.name_key, p.p_name_key)
+            if score >= 75 and not (any(t.isdigit() for t in a) and any(t.isdigit() for t in b)):
+                marks = [f"variant markers differ: {', '.join(sorted(a | b))}"] if a | b else []
+                out[o.offer_id, p.product_id] = (score, marks + ([] if sizes else ["size unknown"]) + ([f"multipack of {o.packs}"] if o.packs > 1 else []))
+    return out
+
+
+def test_candidates_are_those_of_every_pair(table):
+    offers, products = map(matching.stored, many(table, 60))
+    got = {(r.offer_id, r.product_id): (r.exact_score, r.doubts) for r in matching.candidates(offers, products).collect()}
+    assert got and got == slow_candidates(offers, products)
+
+
+def test_rows_are_joined_only_where_names_are_similar(table):
+    offers, products = many(table)
+    own, theirs = matching._sides(offers, products)
+    joined = matching._pairs(own, theirs.drop("ean"), matching._similar(own, theirs, 75.0))
+    assert joined.where("ean is null or p_ean is null or ean = p_ean").count() == matching.candidates(offers, products).count() > 0
+    assert joined.agg(F.min("exact_score")).first()[0] >= 75
+
+
 def slow_fold(offers, products, limits):
     """`_fold` by holding each offer against every product."""
     shelf = [{"id": p.product_id, "by": None, "brand": p.brand_key, "tokens": p.p_tokens, "ean": p.p_ean, "size": p.p_size, "unit": p.p_unit} for p in products.sort_values("product_id").itertuples()]
