@@ -201,6 +201,17 @@ def test_rows_are_joined_only_where_names_are_similar(table):
     assert joined.agg(F.min("exact_score")).first()[0] >= 75
 
 
+@pytest.mark.parametrize("most", [2, 5])
+def test_leading_candidates_are_the_first_places(table, most):
+    offers, products = map(matching.stored, many(table))
+    every = matching.ranked(matching.candidates(offers, products))
+    no = every.where("place in (1, 3)").select("offer_id", "product_id").where("offer_id % 4 = 0")
+    for rejected in (None, no):
+        want = matching.ranked(matching.candidates(offers, products, rejected)).where(f"place <= {most}").drop("place", "lead").collect()
+        got = matching.leading(offers, products, rejected, most=most).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and max(r.place for r in every.collect()) > most
+
+
 def slow_fold(offers, products, limits):
     """`_fold` by holding each offer against every product."""
     shelf = [{"id": p.product_id, "by": None, "brand": p.brand_key, "tokens": p.p_tokens, "ean": p.p_ean, "size": p.p_size, "unit": p.p_unit} for p in products.sort_values("product_id").itertuples()]
