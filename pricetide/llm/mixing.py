@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import chosen, staged
 
 ROUNDS, FILLS, KEEP = 6, 4, 0.8
+#: Quotas as near as this to all tokens of a cell are all of them, in whatever order sums were made.
+FULL = 1 - 1e-12
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 TOKEN = r"[^ \t\r\n]+"
 REGISTER = """case when 20 * marks > n_tokens then 'markup' when 20 * digits > n_tokens then 'numeric'
@@ -84,7 +86,7 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep
 
 def _bounded(cells: DataFrame, goal: DataFrame, by: str) -> DataFrame:
     """Quotas of each value's cells that aren't full are raised or lowered to its goal; if even the full ones are too much, all are lowered."""
-    full = F.col("quota") >= F.col("tokens")
+    full = F.col("quota") >= F.col("tokens") * F.lit(FULL)
     sums = cells.groupBy(by).agg(F.sum(F.when(full, F.col("quota")).otherwise(0.0)).alias("_full"), F.sum(F.when(full, 0.0).otherwise(F.col("quota"))).alias("_free"))
     free = F.expr("_free > 0 and goal > _full")
     rates = sums.join(goal, by).select(by, F.when(free, F.expr("(goal - _full) / _free")).otherwise(F.expr("goal / nullif(_full + _free, 0.0D)")).alias("_rate"), free.alias("_part"))

@@ -504,3 +504,12 @@ def test_pipeline_on_awkward_rows(spark, docs, tmp_path):
     assert max(left.values()) == 1 and None not in left and "!!! 123 ???" not in left
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_a_cell_that_is_full_but_for_the_last_bit_is_full(table):
+    """Whether a quota has reached its cell's tokens can't depend on the order in which sums are made."""
+    import math
+
+    cells = table("source string, lang string, topic string, tokens long, quota double", ("a", "x", "", 10, math.nextafter(10.0, 0)), ("a", "y", "", 10, 5.0))
+    out = mixing._bounded(cells, table("source string, goal double", ("a", 18.0)), "source")
+    assert {r.lang: round(r.quota, 9) for r in out.collect()} == {"x": 10.0, "y": 8.0}
