@@ -42,6 +42,8 @@ from .spans import Span, joined, sha256
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, GENERALISE, REMOVE = 12, 3, 0.8, 0.95
 BITS = 1 << 22
+#: Terms whose counts a task holds.
+AT_ONCE = 1 << 18
 PLACE = {"removed": "", "generalised": "[term]"} | {k: f"[{k}]" for k in KINDS}
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
@@ -242,18 +244,32 @@ def _found(docs: DataFrame, entities: np.ndarray, marked: np.ndarray) -> DataFra
 
 def _document_counts(docs: DataFrame, marked: np.ndarray) -> DataFrame:
     """(term, in how many documents) of every term whose bit is set."""
+    return _task_counts(docs, marked).groupBy("term").agg(F.sum("docs").alias("n_term"))
+
+
+def _task_counts(docs: DataFrame, marked: np.ndarray) -> DataFrame:
+    """The same as counted by each task (term, docs)."""
     schema = pa.schema([("term", pa.int64()), ("docs", pa.int64())])
 
+    def told(counts: dict[int, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*counts], pa.int64()), pa.array([*counts.values()], pa.int64())], schema=schema)
+
     def run(batches):
+        # counts of a task are summed before they are told, as often as AT_ONCE terms are held
+        counts: dict[int, int] = {}
         for batch in batches:
             for _, texts in blocks(batch):
                 h, doc, _, _ = terms(texts)
                 pass_ = _set(marked, h)
                 once = np.unique(np.stack([doc[pass_], h[pass_]]), axis=1)[1] if pass_.any() else h[:0]
-                term, n = np.unique(once, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], schema=schema)
-
-    return whole_texts(docs).mapInArrow(run, from_arrow_schema(schema)).groupBy("term").agg(F.sum("docs").alias("n_term"))
+                for term, n in zip(*(x.tolist() for x in np.unique(once, return_counts=True))):
+                    counts[term] = counts.get(term, 0) + n
+                if len(counts) >= AT_ONCE:
+                    yield told(counts)
+                    counts = {}
+        yield told(counts)
+
+    return whole_texts(docs).mapInArrow(run, from_arrow_schema(schema))
 
 
 def _bitmap(candidates: DataFrame, column: str) -> np.ndarray:

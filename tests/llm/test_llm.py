@@ -513,3 +513,10 @@ def test_a_cell_that_is_full_but_for_the_last_bit_is_full(table):
     cells = table("source string, lang string, topic string, tokens long, quota double", ("a", "x", "", 10, math.nextafter(10.0, 0)), ("a", "y", "", 10, 5.0))
     out = mixing._bounded(cells, table("source string, goal double", ("a", 18.0)), "source")
     assert {r.lang: round(r.quota, 9) for r in out.collect()} == {"x": 10.0, "y": 8.0}
+
+
+def test_a_task_tells_a_term_once(table):
+    docs = table("doc_id long, text string", *((i, "alpha beta " + "gamma " * 200_000 if i % 2 else "alpha alpha") for i in range(8))).coalesce(1)
+    every = np.full(sanitise.BITS // 8 + 1, 255, np.uint8)
+    assert sorted(r.docs for r in sanitise._task_counts(docs, every).collect()) == [4, 4, 8]
+    assert sorted(r.n_term for r in sanitise._document_counts(docs, every).collect()) == [4, 4, 8]
