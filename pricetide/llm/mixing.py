@@ -11,8 +11,8 @@ doesn't depend on partitions, and other documents of a cell don't change who is
 `residual` tells for each document by how much the expected share of its source, language or topic
 misses the target at most: it is not 0 where a value has too few tokens for its target.
 
-Only factors of values and a few sums are computed, by grouping: no task sees all cells, and none
-holds a source whole.
+The steps are windows over the cells, one plan without joins, so the driver has no tables to build and hand out:
+a task sees the cells of one value at a time (not its documents), and what doesn't fit in memory is spilled.
 
 Targets are tables (value, share); those left out are the present shares to the power
 given in TEMPER, which moves weight from large groups to small ones. Values without a
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chosen, staged
@@ -53,15 +53,15 @@ def sized(docs: DataFrame) -> DataFrame:
     return counted.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), known.alias("topic"), "n_tokens", F.xxhash64("_text").alias("raw"), (number / F.lit(DRAWN)).alias("drawn"))
 
 
-def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Cells (source, lang, topic, tokens) with `quota`, the tokens to take of each; by dimension its values with `residual`."""
+def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with `quota`, the tokens to take of each, and the highest `residual` of its values."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    goals = {}
+    out = cells.withColumn("quota", F.col("tokens") * F.lit(keep))
     for by, power in TEMPER.items():
         sums = cells.groupBy(by).agg(F.sum("tokens").alias("tokens"))
         if targets and by in targets:
             wanted = targets[by].groupBy(F.col("value").alias(by)).agg(F.sum("share").alias("share"))
-            sums = sums.join(wanted, by, "left").fillna(0.0, ["share"])
+            sums = sums.join(wanted.hint("merge"), by, "left").fillna(0.0, ["share"])
         else:
             sums = sums.withColumn("share", F.pow(F.col("tokens") / F.lit(total), F.lit(power)))
         sums = staged(sums)
@@ -71,27 +71,28 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep
             most = F.col("share") * F.lit(rate) >= F.col("tokens")
             full, free = sums.agg(F.sum(F.when(most, F.col("tokens")).otherwise(0)), F.sum(F.when(most, 0.0).otherwise(F.col("share")))).first()
             rate = (total * keep - full) / free if free else rate
-        goals[by] = staged(sums.select(by, (F.col("share") * F.lit(total * keep)).alias("target"), F.least(F.col("tokens").cast("double"), F.col("share") * F.lit(rate)).alias("goal")))
-    out = cells.withColumn("quota", F.col("tokens") * F.lit(keep))
+        goal = sums.select(by, (F.col("share") * F.lit(total * keep)).alias(f"target_{by}"), F.least(F.col("tokens").cast("double"), F.col("share") * F.lit(rate)).alias(f"goal_{by}"))
+        out = out.join(goal.hint("merge"), by)
     for _ in range(rounds):
         for by in TEMPER:
-            out = _bounded(out, goals[by], by)
-        out = staged(out)
-    said = {}
-    for by, goal in goals.items():
-        sums = out.groupBy(by).agg(F.sum("quota").alias("quota")).join(goal, by)
-        said[by] = staged(sums.select(by, F.abs((F.col("quota") - F.col("target")) / F.lit(total * keep or 1.0)).alias("residual")))
-    return out, said
+            out = _moved(out, by, f"goal_{by}")
+    misses = (F.abs((F.sum("quota").over(Window.partitionBy(by)) - F.col(f"target_{by}")) / F.lit(total * keep or 1.0)).alias(f"_{by}") for by in TEMPER)
+    return staged(out.select("*", *misses).select("source", "lang", "topic", "tokens", "quota", F.greatest(*(f"_{by}" for by in TEMPER)).alias("residual")))
 
 
 def _bounded(cells: DataFrame, goal: DataFrame, by: str) -> DataFrame:
+    return _moved(cells.join(goal, by), by, "goal").select("source", "lang", "topic", "tokens", "quota")
+
+
+def _moved(cells: DataFrame, by: str, goal: str) -> DataFrame:
     """Quotas of each value's cells that aren't full are raised or lowered to its goal; if even the full ones are too much, all are lowered."""
+    value = Window.partitionBy(by)
     full = F.col("quota") >= F.col("tokens") * F.lit(FULL)
-    sums = cells.groupBy(by).agg(F.sum(F.when(full, F.col("quota")).otherwise(0.0)).alias("_full"), F.sum(F.when(full, 0.0).otherwise(F.col("quota"))).alias("_free"))
-    free = F.expr("_free > 0 and goal > _full")
-    rates = sums.join(goal, by).select(by, F.when(free, F.expr("(goal - _full) / _free")).otherwise(F.expr("goal / nullif(_full + _free, 0.0D)")).alias("_rate"), free.alias("_part"))
-    moved = F.when(F.col("_part") & full, F.col("quota")).otherwise(F.col("quota") * F.coalesce("_rate", F.lit(0.0)))
-    return cells.join(rates, by).withColumn("quota", F.least(moved, F.col("tokens").cast("double"))).select("source", "lang", "topic", "tokens", "quota")
+    sums = cells.withColumns({"_full": F.sum(F.when(full, F.col("quota")).otherwise(0.0)).over(value), "_free": F.sum(F.when(full, 0.0).otherwise(F.col("quota"))).over(value)})
+    part = F.expr(f"_free > 0 and {goal} > _full")
+    rate = F.when(part, F.expr(f"({goal} - _full) / _free")).otherwise(F.expr(f"{goal} / nullif(_full + _free, 0.0D)"))
+    moved = F.when(part & full, F.col("quota")).otherwise(F.col("quota") * F.coalesce(rate, F.lit(0.0)))
+    return sums.withColumn("quota", F.least(moved, F.col("tokens").cast("double"))).drop("_full", "_free")
 
 
 def filtered(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
@@ -107,12 +108,10 @@ def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: f
 def _decided(docs: DataFrame, targets: Mapping[str, DataFrame] | None, keep: float, rounds: int) -> DataFrame:
     rows = staged(sized(docs))
     cells = staged(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
-    quotas, said = raked(cells, targets, keep, rounds)
+    quotas = raked(cells, targets, keep, rounds)
     every = quotas.agg(F.sum("quota")).first()[0] or 1.0
-    rated = quotas.select("source", "lang", "topic", (F.col("quota") / F.lit(every)).alias("weight"), (F.col("quota") / F.col("tokens")).alias("probability"))
-    for by, sums in said.items():
-        rated = rated.join(sums.select(by, F.col("residual").alias(f"_{by}")), by)
-    out = rows.join(staged(rated.withColumn("residual", F.greatest(*(f"_{by}" for by in said))).drop(*(f"_{by}" for by in said))), ["source", "lang", "topic"], "left")
+    rated = quotas.select("source", "lang", "topic", (F.col("quota") / F.lit(every)).alias("weight"), (F.col("quota") / F.col("tokens")).alias("probability"), "residual")
+    out = rows.join(rated, ["source", "lang", "topic"], "left")
     chance = F.coalesce("probability", F.lit(1.0))
     return out.select("doc_id", "raw", "source", "lang", "topic", "n_tokens", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("weight"), F.round(chance, 9).alias("probability"), F.round(F.coalesce("residual", F.lit(0.0)), 9).alias("residual"), (F.col("drawn") < chance).alias("kept"))
 

@@ -219,6 +219,17 @@ def test_hot_groups_are_one_class(spark):
     assert {x.class_id for x in got if x.doc_id < 200} == {0} and len({x.class_id for x in got}) == 41
 
 
+def test_steps_of_mixing_join_nothing(table):
+    """The driver builds no tables for the steps: each is a window, and the plan grows with their number only."""
+    cells = table("source string, lang string, topic string, tokens bigint, quota double, goal double", ("a", "x", "t", 10, 5.0, 6.0), ("a", "y", "t", 10, 5.0, 6.0), ("b", "y", "t", 10, 5.0, 8.0))
+    out = cells
+    for _ in range(9):
+        out = mixing._moved(out, "source", "goal")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert {(r.source, r.lang): r.quota for r in out.collect()} == {("a", "x"): 3.0, ("a", "y"): 3.0, ("b", "y"): 8.0}
+
+
 def classes_found(spark, rows):
     got = defaultdict(list)
     for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
