@@ -22,11 +22,12 @@ each text is held against one leader of its bucket, which puts nearly all texts
 copies in one class at a cost of a few comparisons each. Then, in all sketches, only buckets with
 texts of different classes go on: each text is held against a leader drawn anew for that bucket
 if it is in another class, and mixed buckets are split by the texts' next sketch, with new leaders,
-SPLITS times. A member of a class stays in its bucket as long as that is mixed, so a text
-that is similar to it, but not to the leader, can still meet it. All work is in proportion to the
-texts in buckets; no bucket and no text's partners are capped. What is left to chance beside the
-sketches: a pair in a bucket that others lead is found there only if a split parts it from them
-or makes one of the two lead; it has as many buckets as sketches that it agrees in.
+SPLITS times. Up to here work is in proportion to the texts in buckets. What leaders leave open is then settled
+exactly (`_rest`): of each bucket that still has several classes all pairs of different classes are
+held against each other, but for those that two bounds rule out: their lengths, and the words
+they don't have in common (`odd`: one bit for each of PARITY places). So every two texts that agree in a sketch end in one class if they are similar, whoever leads.
+No bucket and no text's partners are capped. The bounds are looked at for each text outside a bucket's largest class
+against each text in it, so for a bucket of many classes their number grows with its square; the pairs that pass do not.
 
 Verification aligns the words within a band as wide as SIMILAR allows, many columns at a time
 in the bits of one number. Texts linked at all are one class (connected components); of a
@@ -55,7 +56,9 @@ from .sanitise import folded
 SHINGLE, SIMILAR = 5, 0.8
 #: Texts of so many shingles, the lowest so many taken, so many sketches.
 KINDS = ((1, 16, 1, 16), (10, 64, 2, 28), (44, 1 << 40, 3, 36))
-FIRST, SPLITS = 12, 2
+FIRST, SPLITS = 12, 1
+#: Places in which words are counted to tell texts apart that can't be similar.
+PARITY = 2048
 #: Hashes held at once while sketching, and bytes of words in one Arrow batch of pairs.
 AT_ONCE = 1 << 21
 
@@ -173,7 +176,16 @@ def _banded(a: list[int], b: list[int], skip_a: int, skip_b: int) -> int:
     return done + high - low - row.bit_count()
 
 
-SKETCHED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("same", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.list_(pa.int64()))), ("words", pa.binary())])
+def odd(words: np.ndarray) -> np.ndarray:
+    """One bit a place: whether an odd number of words falls there, each labelled with how often it occurred before.
+
+    Texts that leave out d words when aligned differ in d bits at most.
+    """
+    places = (labels(words.astype(np.uint32).astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % PARITY
+    return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
+SKETCHED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("same", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.list_(pa.int64()))), ("odd", pa.list_(pa.int64())), ("words", pa.binary())])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +195,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pairs, texts in blocks(pa.RecordBatch.from_arrays([both, batch.column(1)], ["id", "text"])):
             out = {f.name: [] for f in SKETCHED}
             for x, words in zip(pairs, word_ids(texts)):
-                values = (row, x["doc_id"], x["raw"], hashlib.blake2b(words.tobytes(), digest_size=16).digest(), len(words), sketches(shingles(words)) if len(words) else [], words.astype(np.uint32).tobytes())
+                values = (row, x["doc_id"], x["raw"], hashlib.blake2b(words.tobytes(), digest_size=16).digest(), len(words), sketches(shingles(words)) if len(words) else [], odd(words), words.astype(np.uint32).tobytes())
                 for name, value in zip(out, values):
                     out[name].append(value)
                 row += 1
@@ -208,11 +220,11 @@ def _held(asked: DataFrame, words: DataFrame, path: str) -> DataFrame:
 
 
 def _near(n: str, m: str) -> Column:
-    return F.expr(f"least({n}, {m}) >= {SIMILAR - 1e-9} * greatest({n}, {m})")
+    return F.expr(f"least({n}, {m}) >= {SIMILAR - 1e-9}D * greatest({n}, {m})")
 
 
 def links(texts: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Similar pairs (row, leader, similarity) among texts (row, n, keys; row, words), and classes (row, root) of rows with one.
+    """Similar pairs (row, leader, similarity) among texts (row, n, keys, odd; row, words), and classes (row, root) of rows with one.
 
     What is joined here grows with the corpus, so no side is broadcast (`merge`): the plan is the same at every size.
     """
@@ -232,9 +244,34 @@ def links(texts: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.unionByName(asked)
     pairs = pairs.where((F.col("root") != F.col("led")) & _near("n", "m")).select("row", "leader").distinct()
     new = _held(pairs.join(tried.select("row", "leader"), ["row", "leader"], "left_anti"), words, f"{path}/second")
-    similar = spark.read.schema(new.schema).parquet(f"{path}/first", f"{path}/second").where("similarity > 0")
-    edges = classes.withColumnRenamed("root", "leader").unionByName(new.where("similarity > 0").select("row", "leader"))
-    return similar, components(edges)
+    classes = _joined(classes, new)
+    last = _held(_rest(staged(texts.join(classes.hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row")))), words, f"{path}/third")
+    similar = spark.read.schema(new.schema).parquet(f"{path}/first", f"{path}/second", f"{path}/third").where("similarity > 0")
+    return similar, _joined(classes, last)
+
+
+def _joined(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes (row, root) joined where a similar pair links them."""
+    new = found.where("similarity > 0").select("row", "leader")
+    return classes if new.isEmpty() else components(classes.withColumnRenamed("root", "leader").unionByName(new))
+
+
+def _rest(rooted: DataFrame) -> DataFrame:
+    """(row, leader): all pairs of different classes that share a bucket and that neither length nor odd words rule out.
+
+    A pair has a text outside its bucket's largest class, so those are held against all. A bucket of two was settled by its leader.
+    """
+    each = _members(rooted).select("key", "row", "root")
+    mixed = each.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("key")
+    inside = staged(each.join(staged(mixed).hint("merge"), "key"))
+    top = inside.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
+    full = staged(inside.join(staged(top).hint("merge"), "key").join(rooted.select("row", "n", "odd").hint("merge"), "row"))
+    own = full.where("root <> top")
+    other = full.select("key", F.col("row").alias("leader"), F.col("root").alias("led"), F.col("n").alias("m"), F.col("odd").alias("others"), F.col("top").alias("most")).hint("merge")
+    apart = " + ".join(f"bit_count(odd[{i}] ^ others[{i}])" for i in range(PARITY // 64))
+    unlike = f"n + m - 2 * ceil({SIMILAR}D * (n + m) / {1 + SIMILAR}D - 1e-9D)"  # words that similar texts can leave out
+    met = (own["key"] == other["key"]) & F.expr("root <> led and (led = most or row < leader)") & _near("n", "m") & F.expr(f"{apart} <= {unlike}")
+    return own.join(other, met).select("row", "leader").distinct()
 
 
 def _members(texts: DataFrame, sketches: int | None = None) -> DataFrame:
@@ -297,7 +334,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     firsts = staged(sketched.groupBy("same").agg(F.min("row").alias("text"), F.count("*").alias("copies")))
     several = firsts.where("copies > 1").select("same", "text")
     member = staged(sketched.select("row", "doc_id", "raw", "same").join(several, "same", "left").select("row", "doc_id", "raw", F.coalesce("text", "row").alias("text")))
-    texts = staged(sketched.select("row", "n", "keys").join(firsts.select(F.col("text").alias("row")).hint("merge"), "row", "left_semi"), f"{path}-keys")
+    texts = staged(sketched.select("row", "n", "keys", "odd").join(firsts.select(F.col("text").alias("row")).hint("merge"), "row", "left_semi"), f"{path}-keys")
     found, root = links(texts, sketched.select("row", "words"))
     for done in (path, f"{path}-keys"):
         removed(docs.sparkSession, done)

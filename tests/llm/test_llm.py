@@ -230,6 +230,31 @@ def test_steps_of_mixing_join_nothing(table):
     assert {(r.source, r.lang): r.quota for r in out.collect()} == {("a", "x"): 3.0, ("a", "y"): 3.0, ("b", "y"): 8.0}
 
 
+def test_pairs_in_a_bucket_that_others_lead(spark):
+    """One bucket of texts that are not similar, but for pairs: all of them are found, whoever leads."""
+    r, texts = random.Random(21), []
+    for k in range(40):
+        words = np.array([r.randrange(1 << 32) for _ in range(r.choice([20, 60, 300]))], np.uint64)
+        texts += [words, np.append(words[:-1], np.uint64(k))]
+    keyed = [(i, len(x), [[7]], [int(b) for b in order_minhash.odd(x)]) for i, x in enumerate(texts)]
+    words = spark.createDataFrame([(i, x.astype(np.uint32).tobytes()) for i, x in enumerate(texts)], "row bigint, words binary")
+    similar, root = order_minhash.links(spark.createDataFrame(keyed, "row bigint, n int, keys array<array<bigint>>, odd array<bigint>"), words)
+    assert {(x.row, x.root) for x in root.collect()} == {(2 * k + 1, 2 * k) for k in range(40)}
+    assert sorted(tuple(sorted((x.row, x.leader))) for x in similar.collect()) == [(2 * k, 2 * k + 1) for k in range(40)]
+
+
+def test_odd_words_bound_what_texts_differ_in():
+    r = random.Random(22)
+    for _ in range(300):
+        kinds = r.choice([3, 30, 3000])
+        a = np.array([r.randrange(kinds) for _ in range(r.randint(1, 300))], np.uint64)
+        b = np.array([x if r.random() > 0.05 else r.randrange(kinds) for x in a if r.random() > 0.05], np.uint64)
+        bits = sum(int(x).bit_count() for x in (order_minhash.odd(a) ^ order_minhash.odd(b)).view(np.uint64))
+        total = len(a) + len(b)
+        like = lcs_similarity(a, b)
+        assert bits <= total - 2 * total * like / (1 + like) + 1e-6
+
+
 def classes_found(spark, rows):
     got = defaultdict(list)
     for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
