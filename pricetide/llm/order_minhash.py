@@ -263,14 +263,13 @@ def _rest(rooted: DataFrame) -> DataFrame:
     """
     each = _members(rooted).select("key", "row", "root")
     mixed = each.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("key")
-    inside = staged(each.join(staged(mixed).hint("merge"), "key"))
+    inside = staged(each.join(staged(mixed).hint("merge"), "key").join(rooted.select("row", "n", "odd").hint("merge"), "row"))
     top = inside.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
-    full = staged(inside.join(staged(top).hint("merge"), "key").join(rooted.select("row", "n", "odd").hint("merge"), "row"))
-    own = full.where("root <> top")
-    other = full.select("key", F.col("row").alias("leader"), F.col("root").alias("led"), F.col("n").alias("m"), F.col("odd").alias("others"), F.col("top").alias("most")).hint("merge")
+    own = staged(inside.join(staged(top).hint("merge"), "key").where("root <> top"))
+    other = inside.select("key", F.col("row").alias("leader"), F.col("root").alias("led"), F.col("n").alias("m"), F.col("odd").alias("others")).hint("merge")
     apart = " + ".join(f"bit_count(odd[{i}] ^ others[{i}])" for i in range(PARITY // 64))
     unlike = f"n + m - 2 * ceil({SIMILAR}D * (n + m) / {1 + SIMILAR}D - 1e-9D)"  # words that similar texts can leave out
-    met = (own["key"] == other["key"]) & F.expr("root <> led and (led = most or row < leader)") & _near("n", "m") & F.expr(f"{apart} <= {unlike}")
+    met = (own["key"] == other["key"]) & F.expr("root <> led and (led = top or row < leader)") & _near("n", "m") & F.expr(f"{apart} <= {unlike}")
     return own.join(other, met).select("row", "leader").distinct()
 
 

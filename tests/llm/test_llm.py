@@ -243,6 +243,16 @@ def test_pairs_in_a_bucket_that_others_lead(spark):
     assert sorted(tuple(sorted((x.row, x.leader))) for x in similar.collect()) == [(2 * k, 2 * k + 1) for k in range(40)]
 
 
+def test_texts_of_a_bucket_s_largest_class_are_written_once(spark, monkeypatch):
+    """What is left open in a bucket: its texts once, and those outside its largest class; the pairs are all those of different classes."""
+    rows = [(i, 4, 0 if i < 60 else i, [[7]], [0] * (order_minhash.PARITY // 64)) for i in range(63)]
+    written, plain = [], order_minhash.staged
+    monkeypatch.setattr(order_minhash, "staged", lambda df, *more: written.append(plain(df, *more)) or written[-1])
+    got = order_minhash._rest(spark.createDataFrame(rows, "row bigint, n int, root bigint, keys array<array<bigint>>, odd array<bigint>")).collect()
+    assert {tuple(sorted((x.row, x.leader))) for x in got} == {(a, b) for b in range(60, 63) for a in range(b)} and len(got) == 60 * 3 + 3
+    assert sorted(x.count() for x in written if {"key", "row"} <= set(x.columns)) == [3, 63]
+
+
 def test_odd_words_bound_what_texts_differ_in():
     r = random.Random(22)
     for _ in range(300):
