@@ -8,8 +8,11 @@ keys; offers and products are joined only where their names are similar.
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,19 +67,29 @@ def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)])
 
 
+def _once(rows: DataFrame, by: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`rows` with the columns that `work` adds to different values of `by`, which it sees once each, spread over all cores."""
+    spark = rows.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known = work(rows.select(*by).distinct().repartition(n)).withColumnsRenamed({c: f"_once_{c}" for c in by})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_once_{c}")) for c in by))
+    return rows.join(known, same).drop(*(f"_once_{c}" for c in by))
+
+
 def offer_keys(offers: DataFrame, *more: str) -> DataFrame:
     """offers: offer_id, title, brand_name, ean, size_value, size_unit -> what matching compares, and `more` of their columns."""
-    brand = T.canonical_brand(F.col("brand_name"))
-    sized = N.offer_size(F.col("title"), F.col("size_value"), F.col("size_unit"))
-    keyed = offers.withColumns({"brand_key": T.brand_key(brand), "tokens": T.name_tokens(F.col("title"), F.col("brand_name")), "_size": sized})
-    return keyed.select("offer_id", "brand_key", "tokens", F.array_join("tokens", " ").alias("name_key"), "ean", F.col("_size.value").alias("size"), F.col("_size.unit").alias("unit"), F.col("_size.count").alias("packs"), *more)
+    by = ["title", "brand_name", "size_value", "size_unit"]
+    keys = [T.brand_key(T.canonical_brand(F.col("brand_name"))).alias("brand_key"), T.name_tokens(F.col("title"), F.col("brand_name")).alias("tokens"), N.offer_size(F.col("title"), F.col("size_value"), F.col("size_unit")).alias("_size")]
+    found = ["brand_key", "tokens", F.array_join("tokens", " ").alias("name_key"), F.col("_size.value").alias("size"), F.col("_size.unit").alias("unit"), F.col("_size.count").alias("packs")]
+    keyed = _once(offers.select(*dict.fromkeys(["offer_id", "ean", *by, *more])), by, lambda d: d.select(*by, *keys).select(*by, *found))
+    return keyed.select("offer_id", "brand_key", "tokens", "name_key", "ean", "size", "unit", "packs", *more)
 
 
 def product_keys(products: DataFrame) -> DataFrame:
     """products: product_id, name, brand, ean, size_value, size_unit."""
-    base = N.base_size(F.col("size_value"), F.col("size_unit"))
-    tokens = T.name_tokens(F.col("name"), F.col("brand"))
-    return products.select("product_id", T.brand_key(F.col("brand")).alias("brand_key"), tokens.alias("p_tokens"), F.array_join(tokens, " ").alias("p_name_key"), F.col("ean").alias("p_ean"), base["value"].alias("p_size"), base["unit"].alias("p_unit"))
+    base, tokens = N.base_size(F.col("size_value"), F.col("size_unit")), T.name_tokens(F.col("name"), F.col("brand"))
+    keyed = _once(products, ["name", "brand"], lambda d: d.select("name", "brand", T.brand_key(F.col("brand")).alias("brand_key"), tokens.alias("p_tokens")).withColumn("p_name_key", F.array_join("p_tokens", " ")))
+    return keyed.select("product_id", "brand_key", "p_tokens", "p_name_key", F.col("ean").alias("p_ean"), base["value"].alias("p_size"), base["unit"].alias("p_unit"))
 
 
 def _only(a: str, b: str) -> Column:

@@ -143,6 +143,28 @@ def keys(table, offers, shelf):
     return matching.offer_keys(o).join(own, "offer_id"), matching.product_keys(table(SHELF, *shelf))
 
 
+def test_keys_are_worked_out_once_for_equal_listings(spark, table, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), matching.T.name_tokens
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(matching.T, "name_tokens", lambda name, brand: plain(counted(name), brand))
+    kinds = [("Acme Crema Ten 50 ml", "Acme", None, None), ("Acme Gel", "Acme", Decimal("50.000"), "ml"), ("Acme Gel", "Acme", None, None), (None, "Acme", None, None), ("Gel", None, None, None)]
+    offers = table(LISTED, *((i, *kinds[i % 5][:2], f"e{i}" if i % 2 else None, *kinds[i % 5][2:]) for i in range(60)))
+    got = {r.offer_id: r for r in matching.offer_keys(offers, "title").collect()}
+    assert seen.value <= 2 * len(kinds) and sorted(got) == list(range(60))
+    for i, r in got.items():
+        assert (r.title, r.ean) == (kinds[i % 5][0], f"e{i}" if i % 2 else None) and r[1:4] + r[5:8] == got[i % 5][1:4] + got[i % 5][5:8]
+    assert (got[0].tokens, got[0].size, got[1].size, got[2].size, got[4].brand_key) == (["crema", "ten"], 50, 50, None, None)
+    seen.value = 0
+    shelf = table(SHELF, *((i, "Crema Ten" if i % 2 else None, "Acme", f"e{i}", Decimal(i), "ml") for i in range(40)))
+    found = {r.product_id: (r.p_name_key, r.p_ean, r.p_size) for r in matching.product_keys(shelf).collect()}
+    assert seen.value <= 4 and len(found) == 40 and all(x[1:] == (f"e{i}", i) for i, x in found.items()) and {x[0] for i, x in found.items() if i % 2} == {"crema ten"}
+
+
 def test_matching_stages(table):
     offers, products = keys(table, [
         (1, "Vichy Mineral 89 50 ml", "Vichy", None, None, None), (2, "Vichy Mineral 98 50 ml", "Vichy", None, None, None), (3, "Vichy Mineral 89 M 50 ml", "Vichy", None, None, None),
