@@ -27,7 +27,7 @@ exactly (`_rest`): of each bucket that still has several classes all pairs of di
 held against each other, but for those that two bounds rule out: their lengths, and the words
 they don't have in common (`odd`: one bit for each of PARITY places). So every two texts that agree in a sketch end in one class if they are similar, whoever leads.
 No bucket and no text's partners are capped. The bounds are looked at for each text outside a bucket's largest class
-against each text in it, so for a bucket of many classes their number grows with its square; the pairs that pass do not.
+against each text in it, so for a bucket of many classes their number grows with its square, and so can that of the pairs that pass.
 
 Verification aligns the words within a band as wide as SIMILAR allows, many columns at a time
 in the bits of one number. Texts linked at all are one class (connected components); of a
